@@ -120,7 +120,7 @@ s AS (SELECT source, sum(size) AS source_size,
 f AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
 g AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM f),
-h AS (SELECT *, (SELECT min(level) FROM g WHERE level * weight < cap) AS lev FROM g),
+h AS (SELECT *, (SELECT max(level) FROM g WHERE level * weight < cap) AS lev FROM g),
 t AS (SELECT source, source_size, least(cap, coalesce(lev * weight, cap)) AS target FROM h),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
