@@ -34,14 +34,21 @@ def samplers(spark: SparkSession, samples: int = SAMPLES, slots: int = SLOTS, se
     return rows.select("slot", "r", F.transform("r", lambda r: 1.0 / r).alias("inverse"), "b", "c")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once: what a lambda captures is otherwise computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def term_weights(text: Column, slots: int = SLOTS) -> Column:
-    """Array of (slot, w): the coordinates of a text's words with their counts; empty for null or blank texts."""
+    """Array of (slot, w): the coordinates of a text's words with their counts; null for null or blank texts."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
-    ids = F.sort_array(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(slots)).cast("int")))
-    size = F.size(ids)
-    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(ids, i) != F.get(ids, i - 1)))
-    runs = F.transform(starts, lambda s, j: F.struct(F.get(ids, s).alias("slot"), (F.coalesce(F.get(starts, j + 1), size) - s).alias("w")))
-    return F.when(size > 0, runs)
+    ids = F.sort_array(F.transform(F.array_remove(words, ""), lambda w: F.pmod(F.xxhash64(w), F.lit(slots)).cast("int")))
+
+    def count(ids: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(ids)), lambda i: (i == F.size(ids)) | (F.get(ids, i) != F.get(ids, i - 1)))
+        return _let(ends, lambda e: F.transform(e, lambda x, j: F.struct(F.get(ids, x - 1).alias("slot"), (x - F.when(j > 0, F.get(e, j - 1)).otherwise(0)).alias("w"))))
+
+    return _let(ids, lambda x: F.when(F.size(x) > 0, count(x)))
 
 
 def _least(k: int) -> Column:
