@@ -269,6 +269,8 @@ def to_number(v: Val) -> Column:
         return F.when(text.isNull(), None).when(text == "", F.lit(0.0)).when(~F.rlike(text, F.lit(_NUMERIC)), F.lit(math.nan)).when(radix.isNotNull(), other).otherwise(text.try_cast("double"))
     if kind == "variant":
         return F.coalesce(F.try_variant_get(v.col, "$", "double"), v.col.cast("string").try_cast("double"))
+    if kind == "null":
+        return v.col.cast("double")
     raise ExpressionTypeError("number conversion", "a string, number or boolean", v.label)
 
 

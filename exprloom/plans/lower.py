@@ -40,7 +40,9 @@ class Lowering:
         self.policy.depth(node)
         out = self.lower(node)
         if out.kind == "function":
-            raise ExpressionTypeError("expression", "a value", "function")
+            error = ExpressionTypeError("expression", "a value", "function")
+            error.locate(self.source, node.start, node.end)
+            raise error
         return out
 
     def predicate(self, node: n.Node) -> Column:
@@ -149,7 +151,7 @@ class Lowering:
         owner = self.lower(node.object, item)
         if not node.computed:
             self.policy.name(node.property.name, "member")
-            return self.guarded(owner, node.property.name)
+            return ops.member(owner, node.property.name)
         key = self.lower(node.property)
         if key.known and key.const is not None:
             self.policy.name(t._literal_text(key.const), "member")
@@ -161,9 +163,6 @@ class Lowering:
             key = t.of(F.when(bad, F.raise_error(F.lit("BLOCKED_PROPERTY"))).otherwise(key.col), key.type)
         return ops.element(owner, key)
 
-    def guarded(self, owner: Val, name: str) -> Val:
-        return ops.member(owner, name)
-
     def _OptionalMemberExpression(self, node, item):
         owner = self.lower(node.object, item)
         if owner.kind == "null":

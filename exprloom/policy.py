@@ -68,9 +68,8 @@ class Policy:
             compound = [x for x in here if not isinstance(x, n.ATOMS)]
             level += bool(compound)
             if level > self.options.max_depth:
-                error = SecurityError("MAX_DEPTH", f"Expression depth exceeds the limit of {self.options.max_depth}")
-                raise error
-            here = [c for x in compound for c in (x.children() if not isinstance(x, n.ObjectProperty) else x.children())]
+                raise SecurityError("MAX_DEPTH", f"Expression depth exceeds the limit of {self.options.max_depth}")
+            here = [c for x in compound for c in x.children()]
 
     def describe(self) -> dict[str, Iterable[str] | None]:
         """The lists that are configured."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -66,7 +67,9 @@ def as_udf(fn: Callable, returns: str | T.DataType, vectorized: bool) -> Callabl
 
             return pd.Series(asyncio.run(every()), dtype=object)
 
-        udf = F.pandas_udf(gathered, type_, F.PandasUDFType.SCALAR) if hasattr(F, "PandasUDFType") else F.pandas_udf(gathered, type_)
+        with warnings.catch_warnings():  # type hints can't say "any number of series"
+            warnings.simplefilter("ignore")
+            udf = F.pandas_udf(gathered, type_, F.PandasUDFType.SCALAR)
     elif vectorized:
         udf = F.pandas_udf(fn, type_)
     else:
