@@ -1,8 +1,8 @@
 """Connected components as alternating large-star and small-star rounds over an edge table.
 
 Every round is a pair of aggregations and joins on node ids; no adjacency list is ever gathered, so
-a hub with any number of neighbours costs one partially aggregated minimum and one join that
-adaptive execution can split.
+a hub with any number of neighbours costs one partially aggregated minimum and one join.  The minima
+are written before the join: only a join of two plain exchanges can be split where a key is hot.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    least = materialise(least, "least")
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.where("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     joined = down.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return joined.unionAll(least.select("a", F.col("least").alias("b"))).distinct()
 

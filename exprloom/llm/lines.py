@@ -12,11 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, by_batch, materialise
+from .common import bytes_of, by_batch, materialise, unused
 
 #: White space stripped from a line's ends.
 BLANKS = b" \t\n\x0b\x0c\r"
-LINE_SCHEMA = "h1 long, h2 long, doc_id long, at array<int>"
+LINE_SCHEMA = "h1 long, h2 long, doc_id long, text_hash long, at array<int>"
+
+NAMES = ["h1", "h2", "doc_id", "text_hash", "at"]
 
 
 def key_of(line: bytes) -> bytes:
@@ -29,8 +31,8 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
     and the places of its lines.  No text leaves this step."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        one, two, ids, places = [], [], [], []
-        for doc_id, data in zip(batch.column("doc_id").to_pylist(), bytes_of(batch), strict=True):
+        one, two, rows, places = [], [], [], []
+        for row, data in enumerate(bytes_of(batch)):
             seen: dict[bytes, list[int]] = {}
             for at, line in enumerate(data.split(b"\n")):
                 if len(line) >= least and len(key := key_of(line)) >= least and (len(key) >= 4 * least or len(key.decode("utf-8", "replace")) >= least):
@@ -38,12 +40,13 @@ def line_hashes(docs: DataFrame, least: int) -> DataFrame:
             for digest, where in seen.items():
                 one.append(digest[:8])
                 two.append(digest[8:])
-                ids.append(doc_id)
+                rows.append(row)
                 places.append(where)
         words = [pa.array(np.frombuffer(b"".join(x), dtype="<i8")) for x in (one, two)]
-        return pa.RecordBatch.from_arrays([*words, pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["h1", "h2", "doc_id", "at"])
+        ids = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "text_hash")]
+        return pa.RecordBatch.from_arrays([*words, *ids, pa.array(places, pa.list_(pa.int32()))], ["h1", "h2", "doc_id", "text_hash", "at"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_batch(run), LINE_SCHEMA)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(by_batch(run), LINE_SCHEMA)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,14 +77,15 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind[same] = 1
         if (picked := np.flatnonzero(kind >= 0)).size:
             rows = batch.take(pa.array(picked))
-            yield pa.RecordBatch.from_arrays([pa.array(kind[picked].astype(np.int32)), *rows.columns], ["kind", "h1", "h2", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(kind[picked].astype(np.int32)), *rows.columns], ["kind", *NAMES])
         held = ((int(one[-1]), int(two[-1])), int(owner[-1]) if owned[-1] else None)
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([held[0][0]], pa.int64()), pa.array([held[0][1]], pa.int64()), pa.array([held[1]], pa.int64()), pa.array([[]], pa.list_(pa.int32()))], ["kind", "h1", "h2", "doc_id", "at"])
+        last = [pa.array([x], pa.int64()) for x in (*held[0], held[1], 0)]
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), *last, pa.array([[]], pa.list_(pa.int32()))], ["kind", *NAMES])
 
 
 def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
-    """``doc_id``, ``at``: places of the lines to drop, for documents that lose any.
+    """``doc_id``, ``text_hash``, ``at``: places of the lines to drop, for documents that lose any.
 
     Rows are dealt by range of (hash, document), so a line that a third of all documents share spreads over many
     tasks; a partition leaves open only whether its very first document is the first of all, which a join with one
@@ -97,13 +101,14 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     owners = edges.groupBy("h1", "h2").agg(F.min("owner").alias("owner"))
     open_rows = found.where("kind = 1").join(owners, ["h1", "h2"])
     late = open_rows.where(F.col("owner").isNotNull() & (F.col("doc_id").isNull() | (F.col("owner") < F.col("doc_id"))))
-    return found.where("kind = 0").select("doc_id", "at").unionAll(late.select("doc_id", "at"))
+    columns = ["doc_id", "text_hash", "at"]
+    return found.where("kind = 0").select(*columns).unionAll(late.select(*columns))
 
 
 def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
-    """``doc_id``, ``dropped`` (compressed bitmap of a document's lines, set where one is dropped) for the documents
-    of ``docs`` (doc_id, text) that lose a line; all lines of the others stay."""
-    places = repeated_lines(docs, least).groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at"))
+    """``doc_id``, ``text_hash``, ``dropped`` (compressed bitmap of a text's lines, set where one is dropped) for the
+    documents of ``docs`` (doc_id, text) that lose a line; all lines of the others stay."""
+    places = repeated_lines(docs, least).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("at"))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         maps = []
@@ -112,9 +117,9 @@ def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
             bits = np.zeros(int(where.max()) + 1, np.uint8)
             bits[where] = 1
             maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 6))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(maps, pa.binary())], ["doc_id", "dropped"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(maps, pa.binary())], ["doc_id", "text_hash", "dropped"])
 
-    return places.mapInArrow(by_batch(pack), "doc_id long, dropped binary")
+    return places.mapInArrow(by_batch(pack), "doc_id long, text_hash long, dropped binary")
 
 
 def kept_lines(data: bytes, dropped: bytes | None) -> tuple[int, int, bytes]:
@@ -128,10 +133,11 @@ def kept_lines(data: bytes, dropped: bytes | None) -> tuple[int, int, bytes]:
     return len(lines), int(gone.sum()), b"\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g])
 
 
-def with_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
-    """``docs`` with a column ``dropped``.  Bitmaps are few and small, so they are the hashed side and texts are not sorted."""
-    maps = keep_bitmaps(docs.select("doc_id", "text"), least).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
-    return docs.join(maps, docs["doc_id"].eqNullSafe(maps["_id"]), "left").drop("_id")
+def with_bitmaps(docs: DataFrame, least: int, to: str) -> DataFrame:
+    """``docs`` with a column ``to``.  Bitmaps are few and small, so they are the hashed side and texts are not sorted."""
+    maps = keep_bitmaps(docs.select("doc_id", "text"), least).toDF("_id", "_hash", "_map").hint("shuffle_hash").alias("m")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m._id")) & (F.xxhash64("d.text") == F.col("m._hash"))
+    return docs.alias("d").join(maps, same, "left").select("d.*", F.col("m._map").alias(to))
 
 
 def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -139,21 +145,23 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
 
     A line goes if its key (white space stripped, A-Z lower-cased) has at least ``least`` code points and occurs
     in a document with a smaller ``doc_id``.  Within one document repeats stay.  Null and empty texts are one empty
-    line and stay as they are; rows with the same ``doc_id`` count as one document; null ids come after all others
+    line and stay as they are; rows with the same ``doc_id`` count as one document, each with its own text; null ids come after all others
     and count as one document.
     """
 
+    extra = unused(docs, "dropped")
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for value, dropped in zip(batch.column("text"), batch.column("dropped"), strict=True):
+        for value, dropped in zip(batch.column("text"), batch.column(extra), strict=True):
             if not value.is_valid or not dropped.is_valid:
                 texts.append(value.as_py())
             else:
                 texts.append(kept_lines(value.as_buffer().to_pybytes(), dropped.as_py())[2].decode("utf-8", "replace"))
-        names = [c for c in batch.schema.names if c != "dropped"]
+        names = [c for c in batch.schema.names if c != extra]
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return with_bitmaps(docs, least).mapInArrow(by_batch(run), docs.schema)
+    return with_bitmaps(docs, least, extra).mapInArrow(by_batch(run), docs.schema)
 
 
 def line_report(docs: DataFrame, least: int = 10) -> DataFrame:
@@ -164,7 +172,7 @@ def line_report(docs: DataFrame, least: int = 10) -> DataFrame:
         columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(docs.select("doc_id", "text"), least).mapInArrow(by_batch(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(docs.select("doc_id", "text"), least, "dropped").mapInArrow(by_batch(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""

@@ -189,6 +189,7 @@ def link(prints: DataFrame, masks: list[list[int]], max_bits: int, chunk: int =
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, mask, strict=True) if m]) for i, mask in enumerate(masks)])
     rows = prints.select("node", *words, F.explode(keys).alias("block"))
     sizes = prints.select(F.explode(keys).alias("block")).groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(sizes, "block-sizes")  # a join with a plain table can be split where a block is hot
     pieces = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("chunk"), "node"), pieces).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("mine", j).alias("x"), F.greatest("mine", j).alias("y")))
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
     roots = connected_components(link(classes, masks, max_bits))
     rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     labels = rooted.join(named, "root").select("node", "component_id")
     return prints.join(labels, "node").select("doc_id", "f0", "component_id")
 
