@@ -178,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         b, g, _ = kept.get(term, (0, 0, 0))
         p = (b + PRIOR * prior) / (b + g + PRIOR)
         odds = math.log(p / (1 - p)) - math.log(base / (1 - base))
-        return p, odds if odds > SIGMA * math.sqrt(1 / (b + PRIOR * prior) + 1 / (g + PRIOR * (1 - prior))) else 0.0
+        # The error of a log-odds ratio against the base rate, with the base rate's own pseudo-counts: those of a prior
+        # near 1 would make the best witnesses look uncertain.
+        return p, odds if odds > SIGMA * math.sqrt(1 / (b + PRIOR * base) + 1 / (g + PRIOR * (1 - base))) else 0.0
 
     def chain(word: str) -> float:
         p = base
