@@ -66,7 +66,7 @@ class Counter:
             if len(memo) > MEMO:
                 memo.clear()
                 self.pieces.clear()
-            for w in set(words) - memo.keys():
+            for w in {w for w in words if w not in memo}:
                 memo[w] = self.word(w)
             return sum([memo[w] for w in words])
 
