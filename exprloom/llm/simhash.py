@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import bytes_of, by_batch, materialise, unused
 from .components import connected_components
 
@@ -82,17 +82,6 @@ def pigeonhole_blocks(max_bits: int, spare: int) -> list[list[int]]:
     return [[sum(chosen)] for chosen in combinations(blocks, spare)]
 
 
-def sampled_blocks(words: int, tables: int, bits: int, seed: int = 0) -> list[list[int]]:
-    """Masks of ``bits`` bits drawn from fingerprints of ``words`` words, for distances beyond what whole pigeonhole
-    blocks can reach: two fingerprints that differ in a share p of their bits agree on one with probability
-    1 - (1 - (1 - p) ** bits) ** tables."""
-    draw, out = Random(seed), []
-    for _ in range(tables):
-        chosen = draw.sample(range(64 * words), bits)
-        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == k) for k in range(words)])
-    return out
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node to the least node of its component, for the graph of edges (a, b)."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -228,14 +217,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
     return prints.join(labels, "node").select("doc_id", "f0", "component_id")
 
 
-def distinct_documents(docs: DataFrame, shingle: int = 5, max_bits: int = 44, blocks: tuple[int, int, int] = (4, 144, 24)) -> DataFrame:
+def distinct_documents(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each group of near duplicates: the first row with the smallest
-    id stays.  ``blocks`` are words, tables and bits of the sampled blocks: five-word shingles of which 0.8 are shared are a cosine of
-    0.89, on average 39 of 256 bits apart.  Of rows that repeat an id one stays too."""
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits, masks=sampled_blocks(*blocks))
+    id stays.  Near duplicates share ``least`` (a fraction) of their word shingles, which is decided by the sets themselves.
+    Of rows that repeat an id one stays too."""
+    found = materialise(resemblance.near_duplicates(docs, shingle, least), "near-duplicates")
     key, rank = unused(docs, "key"), unused(docs, "rank")
     keyed = lambda c: F.coalesce(c, F.lit(-(1 << 63)))  # noqa: E731  one partitioning serves the join and the window
-    kept = found.select(keyed(F.col("component_id")).alias(key)).distinct().hint("shuffle_hash")
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("least")).select(keyed(F.col("least")).alias(key)).distinct().hint("shuffle_hash")
     rows = docs.withColumn(key, keyed(F.col("doc_id"))).join(kept, key, "left_semi")
     first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
     return rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)

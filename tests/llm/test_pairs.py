@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from exprloom.llm import components, decontam, lines, simhash, suffix
+from exprloom.llm import components, decontam, lines, resemblance, simhash, suffix
 from tests.llm.conftest import ODD
 
 
@@ -116,6 +116,52 @@ def test_distinct_documents_find_similar_texts(frame):
     assert len(ids) <= 36  # copies with up to 15 of 196 shingles changed
 
 
+def shingles(t, k=5):
+    words = (t or "").lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(a, b):
+    """Five-word resemblance of at least 0.8; texts without words are alike."""
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_pairs(seed=21):
+    """Ids and texts in pairs just above and below 0.8, and texts that repeat one phrase but differ in most other words."""
+    rng, rows = random.Random(seed), []
+    for n, gone in [(104, 11), (104, 12), (204, 22), (204, 23), (49, 5), (49, 6)] * 12:
+        words = [f"u{rng.random()}" for _ in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-gone] + [f"v{rng.random()}" for _ in range(gone)]))]
+    for _ in range(6):
+        rows.append((len(rows), "one phrase that keeps repeating " * 30 + " ".join(f"u{rng.random()}" for _ in range(80))))
+    return rows
+
+
+def test_near_duplicates_are_decided_by_exact_shingle_sets(frame):
+    rows = near_pairs()
+    sets = [shingles(t) for _, t in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    assert len(edges) == 36
+    want = {i for i, r in enumerate(roots(len(rows), edges)) if i == r}
+    assert {r["doc_id"] for r in simhash.distinct_documents(frame(rows)).collect()} == want
+
+
+@pytest.mark.parametrize("chunk", [resemblance.CHUNK, 8])
+def test_resemblance_components_equal_brute_force(frame, chunk):
+    rng, rows = random.Random(22), []
+    for _ in range(4):
+        base = text(rng, 120, 5000).split()
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [shingles(t) for _, t in rows]
+    want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])])
+    found = {r["doc_id"]: r["root"] for r in resemblance.near_duplicates(frame(rows), chunk=chunk).collect()}
+    assert len({(found[i], w) for i, w in enumerate(want)}) == len(set(want)) == len(set(found.values()))
+
+
 # Lines.
 
 
