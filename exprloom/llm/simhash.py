@@ -220,11 +220,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
 def distinct_documents(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each group of near duplicates: the first row with the smallest
     id stays.  Near duplicates share ``least`` (a fraction) of their word shingles, which is decided by the sets themselves.
-    Of rows that repeat an id one stays too."""
+    Rows stand for themselves: of those with the same id, or none, only near duplicates go.  Null ids come last, ties go by
+    a hash of the text."""
     found = materialise(resemblance.near_duplicates(docs, shingle, least), "near-duplicates")
     key, rank = unused(docs, "key"), unused(docs, "rank")
-    keyed = lambda c: F.coalesce(c, F.lit(-(1 << 63)))  # noqa: E731  one partitioning serves the join and the window
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("least")).select(keyed(F.col("least")).alias(key)).distinct().hint("shuffle_hash")
-    rows = docs.withColumn(key, keyed(F.col("doc_id"))).join(kept, key, "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
-    return rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    kept = found.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias(key)).hint("shuffle_hash")
+    rows = docs.withColumn(key, resemblance.row_key()).join(kept, key, "left_semi")  # one partitioning serves the join and the window
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(rank) == 1).select(*docs.columns)

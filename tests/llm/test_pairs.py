@@ -146,6 +146,18 @@ def test_near_duplicates_are_decided_by_exact_shingle_sets(frame):
     assert {r["doc_id"] for r in simhash.distinct_documents(frame(rows)).collect()} == want
 
 
+def test_distinct_documents_keep_rows_of_null_and_repeated_ids(frame):
+    rng = random.Random(23)
+    a = text(rng, 100, 5000)
+    rows = [*ODD, (20, a), (21, a + " end"), (21, "quite another text under the same id"), (21, "quite another text under the same id"), (None, text(rng, 50, 5000)), (None, text(rng, 50, 5000)), (None, a)]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.distinct_documents(frame(rows, key=1, row=2, root=3)).collect()]
+    first = {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if not any(alike(shingles(t), s) for s, _ in first.values()):
+            first[i, t] = shingles(t), t
+    assert sorted(kept, key=str) == sorted(first, key=str)
+
+
 @pytest.mark.parametrize("chunk", [resemblance.CHUNK, 8])
 def test_resemblance_components_equal_brute_force(frame, chunk):
     rng, rows = random.Random(22), []
