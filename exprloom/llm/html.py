@@ -3,9 +3,9 @@
 A page is read as a sequence of text blocks, each with its root-to-leaf path of block tags.  For every
 path the text length and the punctuation of all its blocks are added up and divided by the number of
 blocks, less what is link text.  Both ratios are smoothed along the page and fused by
-multiplication; paths above a threshold are content.  The content region is the article they lie
-in, or else the parent of the heaviest path, and the region's blocks are the text, apart from those
-that stand in navigation, forms, adverts, comments and the like.
+multiplication; paths above a threshold are content.  The text is every block on a content path, short
+ones too, and the headings right before them; where articles hold such blocks, only what lies in
+articles.  What stands in navigation, forms, adverts, comments and the like is left out before.
 """
 
 from __future__ import annotations
@@ -192,31 +192,27 @@ def main_text(page: str, threshold: float = 0.5) -> str:
         return ""
     scores = content_scores(blocks)
     mean = sum(scores) / len(scores)
-    content = [s >= threshold * mean and b.linked < len(b.text) for b, s in zip(blocks, scores, strict=True)]
-    weight: dict[int, float] = {}
-    for b, s, good in zip(blocks, scores, content, strict=True):
-        if b.region:
-            weight[b.region] = weight.get(b.region, 0.0) + len(b.text) * good + 1e-9 * s
-    if weight:
-        # An article or main element says where the text is; several articles stay together if they share the weight.
-        most = max(weight.values())
-        regions = {r for r, w in weight.items() if w >= 0.5 * most}
-        return "\n".join(b.text for b in blocks if b.region in regions and not _only_links(b))
-    heavy: dict[tuple[int, ...], int] = {}
-    for b, good in zip(blocks, content, strict=True):
-        if good:
-            holder = b.parent[:-1] if len(b.parent) > 1 else b.parent
-            heavy[holder] = heavy.get(holder, 0) + len(b.text) - b.linked
-    if not heavy:
-        return ""
-    holder = max(heavy, key=lambda k: (heavy[k], -len(k)))
-    first = next(k for k, b in enumerate(blocks) if b.parent[: len(holder)] == holder)
-
-    def inside(k: int, b: Block) -> bool:
-        """In the region, or a heading beside it that comes before it."""
-        return b.parent[: len(holder)] == holder or (k < first and b.path[-1] in HEADINGS and b.parent[:-1] == holder[:-1])
-
-    return "\n".join(b.text for k, b in enumerate(blocks) if inside(k, b) and not _only_links(b))
+    paths: dict[tuple[str, ...], list[float]] = {}
+    for b, s in zip(blocks, scores, strict=True):
+        paths.setdefault(b.path, []).append(s)
+    content = {p for p, each in paths.items() if sum(each) >= threshold * mean * len(each)}
+    good = [b.path in content and b.linked < len(b.text) and not _only_links(b) for b in blocks]
+    weight: dict[object, int] = {}
+    regional = any(g and b.region for b, g in zip(blocks, good, strict=True))
+    held = [(b.region or None) if regional else b.parent[:-1] for b in blocks]
+    for b, g, h in zip(blocks, good, held, strict=True):
+        if g and h is not None:
+            weight[h] = weight.get(h, 0) + len(b.text) - b.linked
+    most = max(weight.values(), default=0)
+    kept = {h for h, w in weight.items() if w >= (0.5 * most if regional else most)}
+    good = [g and h in kept for g, h in zip(good, held, strict=True)]
+    follows, region = False, 0
+    for k in range(len(blocks) - 1, -1, -1):
+        if blocks[k].path[-1:] and blocks[k].path[-1] in HEADINGS:
+            good[k] = good[k] or (follows and blocks[k].region == region)
+        else:
+            follows, region = good[k], blocks[k].region
+    return "\n".join(b.text for b, g in zip(blocks, good, strict=True) if g)
 
 
 def _only_links(block: Block) -> bool:

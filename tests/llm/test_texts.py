@@ -137,6 +137,15 @@ def test_paths_find_text_without_an_article():
     assert text.split("\n")[0] == "Head" and len(text.split("\n")) == 6 and "cookies" not in text and "Great" not in text
 
 
+LONG = "<p>Paragraph {}, with some words, and a full stop at its end. More follows here, and more, to the end.</p>"
+
+
+def test_paths_decide_inside_an_article():
+    page = PAGE % f"<article><h1>Head</h1>{''.join(LONG.format(k) for k in range(8))}<p>Short.</p><div class='meta'><div>Posted by me</div><div>Filed</div><div>Views 3</div><div>Id 7</div><div>Tags</div></div></article>"
+    lines = html.main_text(page).split("\n")
+    assert len(lines) == 10 and lines[0] == "Head" and lines[-1] == "Short."
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>just, text.</p>"), (None, "u", "<script>x"), (5, "u", "a < b & c &amp; d"), (6, "u", "<div" * 50)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
