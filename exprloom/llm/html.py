@@ -197,15 +197,9 @@ def main_text(page: str, threshold: float = 0.5) -> str:
         paths.setdefault(b.path, []).append(s)
     content = {p for p, each in paths.items() if sum(each) >= threshold * mean * len(each)}
     good = [b.path in content and b.linked < len(b.text) and not _only_links(b) for b in blocks]
-    weight: dict[object, int] = {}
-    regional = any(g and b.region for b, g in zip(blocks, good, strict=True))
-    held = [(b.region or None) if regional else b.parent[:-1] for b in blocks]
-    for b, g, h in zip(blocks, good, held, strict=True):
-        if g and h is not None:
-            weight[h] = weight.get(h, 0) + len(b.text) - b.linked
-    most = max(weight.values(), default=0)
-    kept = {h for h, w in weight.items() if w >= (0.5 * most if regional else most)}
-    good = [g and h in kept for g, h in zip(good, held, strict=True)]
+    # Article and main elements say where the text is, if they hold any; all that do stay together.
+    if any(g and b.region for b, g in zip(blocks, good, strict=True)):
+        good = [g and b.region > 0 for b, g in zip(blocks, good, strict=True)]
     follows, region = False, 0
     for k in range(len(blocks) - 1, -1, -1):
         if blocks[k].path[-1:] and blocks[k].path[-1] in HEADINGS:

@@ -146,6 +146,12 @@ def test_paths_decide_inside_an_article():
     assert len(lines) == 10 and lines[0] == "Head" and lines[-1] == "Short."
 
 
+def test_text_of_all_sections_and_articles():
+    parts = [LONG.format(k) * n for k, n in enumerate((6, 1, 2))]
+    for page in (f"<div id=content>{''.join(f'<section>{p}</section>' for p in parts)}</div>", "".join(f"<article>{p}</article>" for p in parts)):
+        assert len(html.main_text(PAGE % page).split("\n")) == 9
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>just, text.</p>"), (None, "u", "<script>x"), (5, "u", "a < b & c &amp; d"), (6, "u", "<div" * 50)], "page_id long, url string, html string")
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
