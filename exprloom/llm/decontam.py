@@ -1,97 +1,139 @@
 """Benchmark decontamination as a prefix-filtered set join, with DataFrame functions only.
 
-A benchmark item is cut into windows of consecutive words.  A window's tokens are its word shingles.
-Tokens are ordered by rarity over all documents; since a window counts only if it is wholly
-contained, its one rarest token is a sufficient prefix.  Document positions are joined with prefix
-tokens, length and position bounds discard what can't hold the whole window, and the rest is verified
-word by word.
+A benchmark item is cut into windows of consecutive words, a window into word shingles, its tokens.
+One scan of the documents splits each text once, hashes each word once, and keeps the positions
+whose shingle is, word for word, one of the benchmark's.  All that follows works on those positions
+alone.  Tokens are ordered by how rare they are over all documents; since a window counts only if
+it is wholly contained, its one rarest token is a sufficient prefix.  Positions are joined with
+prefix tokens, length and position bounds discard what can't hold the whole window, and a window
+is verified by looking up the exact shingles that tile it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 10, 5
-#: Window rows up to which the benchmark side is broadcast; a larger one is joined by shuffling both sides.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side is broadcast; a larger one is joined by shuffling both sides.
+BROADCAST_BYTES = 32 << 20
+#: What a row costs in a hash table beyond its strings.
+ROW_BYTES = 64
 
 
-def words(text: Column) -> Column:
-    """The words of a text; null has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+class Found(NamedTuple):
+    """``sizes``: ``doc_id``, ``text_hash``, ``n_words`` of each document; ``hits``: ``doc_id``, ``text_hash``, ``first``, ``last``
+    (word positions, last exclusive), ``window`` for every occurrence of a window; ``items``: ``window``, ``item``."""
 
+    sizes: DataFrame
+    hits: DataFrame
+    items: DataFrame
 
-def token(array: Column, at: Column, size: int) -> Column:
-    """Hash of the shingle of ``size`` words that begins at ``at`` (0-based)."""
-    return F.xxhash64(*[F.get(array, at + i) for i in range(size)])
 
+def pieces(text: Column) -> Column:
+    """The words of a text in order; an empty string may stand before the first and behind the last."""
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN)
 
-def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``words``, ``len``, ``items``: each distinct window with the ids, as strings, of the items it occurs in."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    rows = rows.withColumn("len", F.least(F.size("w"), F.lit(window)))
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))))
-    return rows.groupBy(F.slice("w", F.col("at") + 1, F.col("len")).alias("words")).agg(F.array_sort(F.collect_set("item")).alias("items")).select("words", F.size("words").alias("len"), "items")
 
+def _ends(w: Column) -> Column:
+    """How many empty strings stand at the ends of ``pieces``."""
+    last = F.when(F.size(w) > 1, (F.element_at(w, -1) == "").cast("int")).otherwise(0)
+    return (F.get(w, F.lit(0)) == "").cast("int") + last
 
-def _tokens(table: DataFrame, shingle: int, sizes: Sequence[int]) -> DataFrame:
-    """Every token of every window: ``token``, ``offset`` within the window."""
-    case = None
-    for size in sizes:
-        value = token(F.col("words"), F.col("offset"), size)
-        case = F.when(F.least("len", F.lit(shingle)) == size, value) if case is None else case.when(F.least("len", F.lit(shingle)) == size, value)
-    each = table.withColumn("offset", F.explode(F.sequence(F.lit(0), F.greatest(F.col("len") - shingle, F.lit(0)))))
-    return each.withColumn("token", case)
-
-
-def _positions(docs: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Every word position of every document with its token: ``doc_id``, ``text_hash``, ``w``, ``pos``, ``token``.
-
-    The words stay one array that the rows of a document share within the stage; only rows that pass the join copy
-    from it."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "word")).drop("word")
-    values = [token(F.col("w"), F.col("pos"), size) for size in sizes]
-    return rows.withColumn("token", values[0] if len(values) == 1 else F.explode(F.array(*values)))
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``first``, ``last`` (word positions, last exclusive), ``items``: every occurrence of a window
-    in a document, verified."""
-    table = materialise(windows(benchmark, window), "windows")
-    sizes = sorted(r[0] for r in table.select(F.least("len", F.lit(shingle))).distinct().collect()) or [shingle]
-    small = table.agg(F.sum(F.greatest(F.col("len") - shingle + 1, F.lit(1)))).first()[0] or 0
-    side = F.broadcast if small <= broadcast_rows else lambda df: df
-    tokens = _tokens(table, shingle, sizes)
-    seen = _positions(docs, sizes).select("token").join(side(tokens.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
-    rare = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "offset")
-    prefix = tokens.join(seen, "token", "left").withColumn("rank", F.row_number().over(rare)).where("rank = 1 and n > 0").drop("rank", "n")
-    prefix = materialise(prefix.select("token", "offset", F.col("words").alias("window"), "len", "items"), "prefix-tokens")
-    start = F.col("pos") - F.col("offset")
-    fits = (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("window"))
-    probe, build = _positions(docs, sizes).alias("d"), side(prefix).alias("p")
-    joined = probe.join(build, (F.col("d.token") == F.col("p.token")) & fits)
-    return joined.select("doc_id", "text_hash", start.alias("first"), (start + F.col("len")).alias("last"), "items")
+
+def token(hashes: Column, at: Column, size: int) -> Column:
+    """Hash of the shingle of ``size`` words that begins at ``at`` (0-based), from the hashes of the words."""
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(size)])
 
 
-def _covered(spans: Column) -> Column:
-    """How many positions a set of (first, last) spans covers."""
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-    step = lambda a, s: F.struct(F.greatest(a["end"], s["last"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["last"] - F.greatest(a["end"], s["first"]))).alias("n"))
-    return F.aggregate(F.array_sort(spans), zero, step, lambda a: a["n"])
+def windows(benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """``window`` (a number), ``words``, ``len``: each distinct window; and ``window``, ``item``: the ids, as strings, of its items."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.array_remove(pieces(F.col("text")), "").alias("w")).where(F.size("w") > 0)
+    rows = rows.withColumn("len", F.least(F.size("w"), F.lit(window)))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))))
+    rows = rows.select(F.slice("w", F.col("at") + 1, F.col("len")).alias("words"), "item").distinct()
+    rows = materialise(rows, "window-items")
+    table = materialise(rows.select("words").distinct().select(F.monotonically_increasing_id().alias("window"), "words", F.size("words").alias("len")), "windows")
+    return table, rows.join(table, "words").select("window", "item")
 
 
-def hit_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``n_hit``, ``items`` of the documents that hold any window; see :func:`hits`."""
-    found = hits(docs, benchmark, **options).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.collect_set("items").alias("items"))
-    return found.select("doc_id", "text_hash", _covered(F.col("spans")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+def _tokens(table: DataFrame, shingle: int, sizes: Sequence[int]) -> DataFrame:
+    """Every token of every window: ``window``, ``len``, ``offset``, ``size``, ``token`` and the shingle's words ``said``."""
+    size = F.least("len", F.lit(shingle))
+    each = table.select("window", "words", "len", size.alias("size"), F.transform("words", lambda x: F.xxhash64(x)).alias("h"), F.explode(F.sequence(F.lit(0), F.col("len") - size)).alias("offset"))
+    case = F.lit(None).cast("long")
+    for n in sizes:
+        case = F.when(F.col("size") == n, token(F.col("h"), F.col("offset"), n)).otherwise(case)
+    return each.select("window", "len", "offset", "size", case.alias("token"), F.slice("words", F.col("offset") + 1, F.col("size")).alias("said"))
+
+
+def _fits_broadcast(table: DataFrame, size: Column, limit: int) -> bool:
+    return (table.agg(F.sum(size + F.lit(ROW_BYTES))).first()[0] or 0) <= limit
+
+
+def _scan(docs: DataFrame, shingles: DataFrame, sizes: Sequence[int], limit: int) -> DataFrame:
+    """The one pass over the texts: a row for each position that begins a shingle of the benchmark, and at least one row a
+    document, whose ``shingle`` may be null: ``doc_id``, ``text_hash``, ``n_words``, ``width`` (of ``pieces``), ``pos``, ``shingle``."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), pieces(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", "text_hash", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    rows = rows.select("doc_id", "text_hash", "w", "h", F.posexplode("h").alias("pos", "one"))
+    if len(sizes) == 1:
+        rows = rows.withColumn("size", F.lit(sizes[0])).withColumn("token", token(F.col("h"), F.col("pos"), sizes[0]))
+    else:
+        every = F.array(*[F.struct(F.lit(n).alias("size"), token(F.col("h"), F.col("pos"), n).alias("token")) for n in sizes])
+        rows = rows.select("doc_id", "text_hash", "w", "pos", F.explode(every).alias("s")).select("doc_id", "text_hash", "w", "pos", "s.size", "s.token")
+    side = F.broadcast if _fits_broadcast(shingles, F.octet_length(F.array_join("said", " ")), limit) else lambda df: df
+    same = (F.col("d.token") == F.col("s.token")) & (F.slice("d.w", F.col("d.pos") + 1, F.col("d.size")) == F.col("s.said"))
+    joined = rows.alias("d").join(side(shingles.select("token", "said", "shingle")).alias("s"), same, "left")
+    anchor = (F.col("pos") == 0) & (F.col("size") == sizes[0])
+    n_words = (F.size("w") - _ends(F.col("w"))).cast("long")
+    return joined.where(F.col("shingle").isNotNull() | anchor).select("doc_id", "text_hash", n_words.alias("n_words"), F.size("w").alias("width"), "pos", "shingle", anchor.alias("anchor"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> Found:
+    """Every verified occurrence of a window of ``benchmark`` in ``docs``; see :class:`Found`."""
+    table, items = windows(benchmark, window)
+    sizes = sorted(r[0] for r in table.select(F.least("len", F.lit(shingle))).distinct().collect()) or [shingle]
+    tokens = materialise(_tokens(table, shingle, sizes), "window-tokens")
+    shingles = materialise(tokens.select("size", "token", "said").distinct().withColumn("shingle", F.monotonically_increasing_id()), "shingles")
+    tokens = materialise(tokens.join(shingles, ["size", "token", "said"]).select("window", "len", "offset", "size", "shingle"), "window-shingles")
+    scanned = materialise(_scan(docs, shingles, sizes, broadcast_bytes), "benchmark-shingles")
+    places = scanned.where("shingle is not null").select("doc_id", "text_hash", "width", "pos", "shingle")
+    seen = places.groupBy("shingle").agg(F.count("*").alias("n"))
+    # A window of which a token never occurs can't occur; of the others the rarest token is the prefix.
+    ranked = tokens.join(seen, "shingle", "left").groupBy("window", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "shingle")).alias("rarest"))
+    prefix = materialise(ranked.where("rarest.n > 0").select("window", "len", "rarest.offset", "rarest.shingle"), "prefix-tokens")
+    first = F.col("pos") - F.col("offset")
+    near = places.join(prefix, "shingle").where((first >= 0) & (first + F.col("len") <= F.col("width")))
+    near = materialise(near.select("doc_id", "text_hash", first.alias("first"), "window", "len"), "window-candidates")
+    tiles = tokens.where("offset % size = 0 or offset = len - size").select("window", "offset", "shingle")
+    asked = near.join(materialise(tiles, "window-tiles"), "window").select("doc_id", "text_hash", "first", "len", "window", "shingle", (F.col("first") + F.col("offset")).alias("pos"))
+    there = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("shingle").alias("_shingle")).distinct()
+    missing = asked.join(there, (F.col("text_hash") == F.col("_hash")) & (F.col("pos") == F.col("_pos")) & (F.col("shingle") == F.col("_shingle")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    whole = missing.groupBy("doc_id", "text_hash", "first", "len", "window").agg(F.max(F.col("_pos").isNull()).alias("missing")).where("not missing")
+    found = materialise(whole.select("doc_id", "text_hash", "first", (F.col("first") + F.col("len")).alias("last"), "window"), "window-hits")
+    return Found(scanned.where("anchor").select("doc_id", "text_hash", "n_words"), found, items)
+
+
+def hit_documents(found: Found) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``n_hit``, ``items`` of the documents that hold any window."""
+    key = ["doc_id", "text_hash"]
+    spans = found.hits.select(*key, "first", "last").distinct()
+    reach = F.max("last").over(Window.partitionBy(*key).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    covered = F.greatest(F.lit(0), F.col("last") - F.greatest("first", F.coalesce(reach, F.lit(0))))
+    words = spans.select(*key, covered.alias("covered")).groupBy(*key).agg(F.sum("covered").cast("long").alias("n_hit"))
+    named = found.hits.select(*key, "window").distinct().join(found.items, "window").groupBy(*key, "item").agg(F.count("*").alias("n"))
+    names = named.groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    same = words["doc_id"].eqNullSafe(names["doc_id"]) & (words["text_hash"] == names["text_hash"])
+    return words.join(names, same, "left").select(words["doc_id"], words["text_hash"], "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -103,17 +145,23 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     id with the same text give the same row each; with different texts each is judged by its own.  Empty tables
     on either side are fine.
     """
-    found = hit_documents(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_hit", "items")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["text_hash"] == found["_hash"]), "left")
+    found = hits(docs, benchmark, **options)
+    hit = hit_documents(found).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n_hit", "items")
+    joined = found.sizes.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no window of ``benchmark``."""
-    found = hit_documents(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).hint("shuffle_hash")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_hash"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of ``benchmark``.
+
+    Null and empty texts hold none and stay.  Rows that repeat go or stay together; of rows with the same id, or none, each
+    is judged by its own text.  Other columns, whatever their names, pass through.  With an empty table on either side all
+    rows stay."""
+    found = hits(docs, benchmark, broadcast_bytes=broadcast_bytes, **options).hits
+    keys = materialise(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated").alias("hit")
+    keys = F.broadcast(keys) if _fits_broadcast(keys, F.lit(16), broadcast_bytes) else keys.hint("shuffle_hash")
+    return docs.alias("doc").join(keys, F.col("doc.doc_id").eqNullSafe(F.col("hit._id")) & (F.xxhash64("doc.text") == F.col("hit._hash")), "left_anti")
 
 
 SQL = r"""

@@ -275,17 +275,17 @@ def hit_report(rows, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("broadcast_rows", [decontam.BROADCAST_ROWS, 0])
-def test_decontamination_equals_brute_force(spark, frame, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [decontam.BROADCAST_BYTES, 0])
+def test_decontamination_equals_brute_force(spark, frame, broadcast_bytes):
     rng = random.Random(8)
     items = [(k, text(rng, rng.choice([1, 3, 9, 10, 14, 30]), 5000)) for k in range(25)] + [(90, None), (91, " ... "), (3, "ünï Çode"), (92, "common words go here")]
     rows = [(i, text(rng, 60, 5000)) for i in range(60)] + ODD
     rows += [(100 + i, f"{text(rng, 5)}, {items[i % 25][1].upper()}! {text(rng, 9)} Common-words; GO here") for i in range(50)]
     rows += [(200, " ".join(items[5][1].split()[:9])), (201, "x ünï Çode y"), (202, "x ÜNÏ çode")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.report(frame(rows, items=1, words=2, token=3), bench, broadcast_rows=broadcast_rows)
+    found = decontam.report(frame(rows, items=1, words=2, token=3), bench, broadcast_bytes=broadcast_bytes)
     got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in found.collect()], key=str)
     assert got == hit_report(rows, items)
-    kept = sorted((r["doc_id"] for r in decontam.clean(frame(rows, first=9), bench).collect()), key=str)
+    kept = sorted((r["doc_id"] for r in decontam.clean(frame(rows, first=9), bench, broadcast_bytes=broadcast_bytes).collect()), key=str)
     assert kept == sorted((r[0] for r in hit_report(rows, items) if not r[5]), key=str)
     assert decontam.report(frame(rows), bench.where("item_id < 0")).where("contaminated").count() == 0
