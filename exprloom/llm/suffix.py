@@ -2,11 +2,14 @@
 
 1. Every window of ``WINDOW`` bytes is assigned to the least hashed gram inside it (winnowing).  Equal windows choose
    equal grams, so equal windows meet in one bucket, and a run of windows that share a gram is one context.
-2. Buckets with one context are done: nothing in them repeats.  Contexts that occur twice repeat as a whole.
-3. The other contexts of a bucket are concatenated and suffix-sorted in two stages: suffixes smaller than their
+2. Buckets with one context are done: nothing in them repeats.  Contexts that are equal as a whole, by a 64-bit hash
+   of their bytes besides the 64-bit hash of their gram, repeat as a whole, and one stands for all.
+3. The different contexts of a bucket are concatenated and suffix-sorted in two stages: suffixes smaller than their
    successors are sorted directly, the others are induced by scans over the first-byte buckets; windows whose
    neighbour in the suffix array shares ``WINDOW`` bytes with them repeat.
-4. Buckets with very many different contexts are never gathered: their windows are counted by 128-bit hash.
+4. A bucket of very many different contexts is divided first.  Equal windows hold the gram at the same place, so windows
+   are halved by that place, and what all windows of a half have in common is a longer gram: its hash names the new
+   bucket.  The parts go through steps 2 to 4 again; after log2(WINDOW) halvings a part is one window.
 """
 
 from __future__ import annotations
@@ -65,8 +68,9 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: bytes, powers: Powers, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts of a text: gram hash, first window, number of windows.  Each window start is in exactly one."""
+def contexts(data: bytes, powers: Powers, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of a text: gram hash, first window, number of windows, place of the gram.  Each window start is in exactly
+    one."""
     whole = np.frombuffer(data, np.uint8)
     total, width, piece = len(whole) - window + 1, window - gram + 1, (1 << PIECE_BITS) - window
     mask, out = np.uint64((1 << PIECE_BITS) - 1), []
@@ -74,11 +78,11 @@ def contexts(data: bytes, powers: Powers, window: int = WINDOW, gram: int = GRAM
         part = whole[at : min(at + piece, total) + window - 1]
         grams = powers.hashes(part, gram)
         place = np.arange(len(grams), dtype=np.uint64)
-        least = _sliding_least((grams & ~mask) | place, width) & mask
+        least = (_sliding_least((grams & ~mask) | place, width) & mask).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-        out.append((grams[least[starts]], starts + at, np.diff(np.concatenate([starts, [len(least)]]))))
+        out.append((grams[least[starts]], starts + at, np.diff(np.concatenate([starts, [len(least)]])), least[starts] + at))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -186,11 +190,12 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-ANCHOR = "h long, c long, doc_id long, text_hash long, at int, n int"
+#: A context: its bucket ``h``, a hash ``c`` of its bytes, its text, its first window, how many it has, and where its gram is.
+CONTEXT = "h long, c long, doc_id long, text_hash long, at int, n int, g int"
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row a context: its gram ``h``, a hash ``c`` of its bytes, and where it is."""
+    """One row a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, digest = Powers(1 << PIECE_BITS), xxhash.xxh3_64_intdigest
@@ -198,36 +203,71 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
             parts = []
             for row, data in enumerate(bytes_of(batch)):
                 if len(data) >= window:
-                    h, at, n = contexts(data, powers, window, gram)
+                    h, at, n, g = contexts(data, powers, window, gram)
                     c = np.array([digest(data[a:b]) for a, b in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)], np.uint64)
-                    parts.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), at.astype(np.int32), n.astype(np.int32)))
+                    parts.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), at.astype(np.int32), n.astype(np.int32), g.astype(np.int32)))
             if parts:
-                h, c, row, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                h, c, row, at, n, g = (np.concatenate(x) for x in zip(*parts, strict=True))
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(at), pa.array(n)], ["h", "c", "doc_id", "text_hash", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(at), pa.array(n), pa.array(g)], ["h", "c", "doc_id", "text_hash", "at", "n", "g"])
 
-    return docs.mapInArrow(run, ANCHOR)
+    return docs.mapInArrow(run, CONTEXT)
+
+
+#: A context with its bytes: ``single`` if no other is equal to it as a whole, and whether its bucket is to be divided.
+PIECE = "h long, doc_id long, text_hash long, at int, n int, g int, single boolean, hot boolean, bytes binary"
 
 
 def _cut_out(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The bytes of the contexts in ``wanted``."""
-    lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("h", "at", "n", "single", "hot")).alias("wanted")).hint("shuffle_hash")
+    fields = ["h", "at", "n", "g", "single", "hot"]
+    lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct(*fields)).alias("wanted")).hint("shuffle_hash")
     joined = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["text_hash"] == F.col("_hash"))).select("doc_id", "text_hash", "text", "wanted")
-    schema = "h long, doc_id long, text_hash long, at int, n int, single boolean, hot boolean, bytes binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for row, (data, wanted) in enumerate(zip(bytes_of(batch), batch.column("wanted").to_pylist(), strict=True)):
-            rows += [(w["h"], row, w["at"], w["n"], w["single"], w["hot"], data[w["at"] : w["at"] + w["n"] + window - 1]) for w in wanted]
-        h, row, at, n, single, hot, data = zip(*rows, strict=True) if rows else [()] * 7
-        row = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(single, pa.bool_()), pa.array(hot, pa.bool_()), pa.array(data, pa.binary())],
-            ["h", "doc_id", "text_hash", "at", "n", "single", "hot", "bytes"],
-        )
+        wanted = batch.column("wanted")
+        of, rows = wanted.flatten(), np.repeat(np.arange(batch.num_rows), np.asarray(wanted.value_lengths().fill_null(0)))
+        column = {f: of.field(k) for k, f in enumerate(fields)}
+        at, ends = column["at"].to_pylist(), (np.asarray(column["at"]) + np.asarray(column["n"]) + window - 1).tolist()
+        texts = list(bytes_of(batch))
+        data = pa.array([texts[r][a:b] for r, a, b in zip(rows.tolist(), at, ends, strict=True)], pa.binary())
+        rows = pa.array(rows)
+        column |= {"doc_id": batch.column("doc_id").take(rows), "text_hash": batch.column("text_hash").take(rows), "bytes": data}
+        names = [x.split()[0] for x in PIECE.split(", ")]
+        return pa.RecordBatch.from_arrays([column[x] for x in names], names)
+
+    return joined.mapInArrow(by_batch(run), PIECE)
+
+
+def _halves(low: int, high: int, window: int, gram: int):
+    """Divide contexts whose windows hold their gram ``low`` to ``high`` bytes from the start: of each a part for the windows of
+    either half, in the bucket that the bytes common to all such windows name."""
+    middle = (low + high) // 2
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digest, rows, out = xxhash.xxh3_64_intdigest, [], {x: [] for x in ("h", "c", "at", "n", "bytes")}
+        columns = [batch.column(x).to_pylist() for x in ("h", "at", "n", "g")]
+        for row, (h, at, n, g, data) in enumerate(zip(*columns, bytes_of(batch, "bytes"), strict=True)):
+            for a, b in ((low, middle), (middle + 1, high)):
+                near, far = max(a, g - at - n + 1), min(b, g - at)
+                if a <= b and near <= far:
+                    part = data[g - far - at : g - near - at + window]
+                    shared = data[g - a - at : g - b - at + window]
+                    out["h"].append(digest(b"%d %d %d " % (h, a, b) + shared))
+                    out["c"].append(digest(b"%d %d " % (near, far) + part))
+                    out["at"].append(g - far)
+                    out["n"].append(far - near + 1)
+                    out["bytes"].append(part)
+                    rows.append(row)
+        rows, signed = pa.array(rows, pa.int64()), lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        kept = {x: batch.column(x).take(rows) for x in ("doc_id", "text_hash", "g", "single")}
+        arrays = [signed(out["h"]), signed(out["c"]), kept["doc_id"], kept["text_hash"], pa.array(out["at"], pa.int32()), pa.array(out["n"], pa.int32()), kept["g"], kept["single"], pa.array(out["bytes"], pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PART.split(", ")])
+
+    return run
 
-    return joined.mapInArrow(by_batch(run), schema)
 
+PART = f"{CONTEXT}, single boolean, bytes binary"
 
 SPAN = "doc_id long, text_hash long, first int, last int"
 
@@ -275,40 +315,46 @@ def _sorted_buckets(window: int):
     return run
 
 
-def _hashed_windows(window: int):
-    """Every window of the contexts of very large buckets, by 128-bit hash."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, place, digests = [], [], []
-        for row, (data, at, n) in enumerate(zip(batch.column("bytes").to_pylist(), batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True)):
-            digests += [xxhash.xxh3_128_digest(data[k : k + window]) for k in range(n)]
-            rows += [row] * n
-            place += range(at, at + n)
-        words = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        rows = pa.array(rows, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(words[:, 0]), pa.array(words[:, 1]), *(batch.column(c).take(rows) for c in ("doc_id", "text_hash", "single")), pa.array(place, pa.int32())], ["w1", "w2", "doc_id", "text_hash", "single", "at"])
+def _settle(rows: DataFrame, window: int, most_contexts: int | None) -> tuple[DataFrame, DataFrame]:
+    """Spans of contexts that are equal to others as a whole, and one of each kind for the buckets that hold several kinds;
+    those of more than ``most_contexts`` are ``hot``, to be divided.
 
-    return run
+    What is joined back is written first: a join of plain tables can be split where a bucket is hot."""
+    carried = [x for x in rows.columns if x not in ("h", "c")]
+    kinds = materialise(rows.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct(*carried)).alias("one")), "context-kinds")
+    whole = rows.where("single").join(kinds.where("copies > 1").select("h", "c"), ["h", "c"])
+    spans = whole.select("doc_id", "text_hash", F.col("at").alias("first"), (F.col("at") + F.col("n") + window - 1).alias("last"))
+    buckets = materialise(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
+    single = (F.col("copies") == 1) & F.col("one.single")
+    wanted = kinds.join(buckets, "h").select("h", *[F.col(f"one.{x}") for x in carried if x != "single"], single.alias("single"), (F.lit(False) if most_contexts is None else F.col("kinds") > most_contexts).alias("hot"))
+    return spans, wanted
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """``doc_id``, ``text_hash``, ``first``, ``last`` (bytes, last exclusive): spans that cover exactly the bytes of windows that
     also start elsewhere, in this document or another.  ``docs`` has doc_id, text_hash, text."""
     every = materialise(anchors(docs, window, gram), "contexts")
-    busy = every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1")
-    shared = materialise(every.join(busy, "h").drop("seen"), "shared-contexts")
-    kinds = shared.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("one"))
-    kinds = materialise(kinds, "context-kinds")
-    whole = shared.join(kinds.where("copies > 1").select("h", "c"), ["h", "c"])
-    spans = whole.select("doc_id", "text_hash", F.col("at").alias("first"), (F.col("at") + F.col("n") + window - 1).alias("last"))
-    buckets = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(buckets, "h").select("h", "one.*", (F.col("copies") == 1).alias("single"), (F.col("kinds") > most_contexts).alias("hot"))
+    busy = materialise(every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select("h"), "busy-grams")
+    shared = materialise(every.join(busy, "h").withColumn("single", F.lit(True)), "shared-contexts")
+    spans, wanted = _settle(shared, window, most_contexts)
     pieces = materialise(_cut_out(docs, wanted, window), "context-bytes")
-    sort = pieces.where("not hot").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_buckets(window), SPAN)
-    every_window = pieces.where("hot").mapInArrow(by_batch(_hashed_windows(window)), "w1 long, w2 long, doc_id long, text_hash long, single boolean, at int")
-    twice = every_window.groupBy("w1", "w2").agg(F.sum(F.when(F.col("single"), 1).otherwise(2)).alias("seen")).where("seen > 1")
-    counted = every_window.where("single").join(twice, ["w1", "w2"]).select("doc_id", "text_hash", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
-    return materialise(spans.unionAll(sort).unionAll(counted), "spans")
+    sort = lambda rows: rows.where("not hot").drop("hot", "g").repartition("h").sortWithinPartitions("h").mapInArrow(_sorted_buckets(window), SPAN)
+    spans, parts = spans.unionAll(sort(pieces)), [(pieces, 0, window - gram)]
+    while parts:
+        rows, low, high = parts.pop()
+        rows = rows.where("hot").drop("hot")
+        if rows.isEmpty():
+            continue
+        middle = (low + high) // 2
+        halves = materialise(rows.mapInArrow(by_batch(_halves(low, high, window, gram)), PART), "context-parts")
+        for a, b in ((low, middle), (middle + 1, high)):
+            # The place of the gram in a part's first window tells its half.
+            mine = halves.where(F.col("g") - F.col("at") <= middle if a == low else F.col("g") - F.col("at") > middle)
+            found, wanted = _settle(mine, window, most_contexts if a < b else None)
+            wanted = materialise(wanted, "part-bytes")
+            spans = spans.unionAll(found).unionAll(sort(wanted))
+            parts.append((wanted, a, b))
+    return materialise(spans, "spans")
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:

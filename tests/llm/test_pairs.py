@@ -241,6 +241,18 @@ def test_repeats_equal_brute_force(spark, frame, most, monkeypatch):
     assert got == span_report(rows, 200)
 
 
+def test_repeats_in_long_texts_and_large_buckets(frame):
+    """A text of several pieces, and a passage shorter than a window that very many texts share in different surroundings."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghij \n") for _ in range(2 * (1 << suffix.PIECE_BITS) + 5000))
+    shared = text(rng, 40)[:150]
+    rows = [(1, long), (2, long[(1 << suffix.PIECE_BITS) - 900 : (1 << suffix.PIECE_BITS) + 900]), (3, long[:150] + long[-700:]), (None, long[5000:5300])]
+    rows += [(10 + i, f"{text(rng, 12, 9000)} {shared} {text(rng, 12, 9000)}") for i in range(suffix.MOST_CONTEXTS + 200)]
+    rows += [(5000 + i, f"same left side of all {'x' * 60} {shared} {text(rng, 15, 9000)}") for i in range(150)]
+    got = sorted(map(tuple, suffix.report(frame(rows)).collect()), key=str)
+    assert got == span_report(rows, 200)
+
+
 def test_suffix_array_orders_suffixes():
     powers, rng = suffix.Powers(1 << 14), random.Random(7)
     for size, letters in [(1, 1), (40, 1), (300, 2), (900, 4), (700, 256)]:
