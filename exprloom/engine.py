@@ -51,56 +51,63 @@ class Validation:
 
 
 def references(node: n.Node, keys: bool = True) -> References:
-    """The names in a tree.  Keys of object literals count as identifiers unless ``keys`` is off, which leaves the columns
-    an expression reads."""
+    """The names in a tree, however deep.  Keys of object literals count as identifiers unless ``keys`` is off, which leaves
+    the columns an expression reads."""
     names: dict[str, dict[str, None]] = {"identifiers": {}, "transforms": {}, "functions": {}}
-
-    def walk(x: n.Node) -> None:
+    rest: list[n.Node | tuple[str, str]] = [node]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, tuple):
+            names[x[0]].setdefault(x[1])
+            continue
         if isinstance(x, n.Identifier):
             names["identifiers"].setdefault(x.name)
-        elif isinstance(x, (n.MemberExpression, n.OptionalMemberExpression)):
-            walk(x.object)
-            if x.computed:
-                walk(x.property)
+            continue
+        parts: list[n.Node | tuple[str, str]]
+        if isinstance(x, (n.MemberExpression, n.OptionalMemberExpression)):
+            parts = [x.object, x.property] if x.computed else [x.object]
         elif isinstance(x, n.CallExpression):
-            if isinstance(x.callee, n.Identifier):
-                names["functions"].setdefault(x.callee.name)
-            else:
-                walk(x.callee)
-            for a in x.args:
-                walk(a)
+            named = isinstance(x.callee, n.Identifier)
+            parts = [("functions", x.callee.name) if named else x.callee, *x.args]
         elif isinstance(x, n.PipeExpression):
-            walk(x.input)
-            stage = x.transform
-            for a in stage.args if isinstance(stage, n.CallExpression) else ():
-                walk(a)
-            stage = stage.callee if isinstance(stage, n.CallExpression) else stage
+            called = isinstance(x.transform, n.CallExpression)
+            stage = x.transform.callee if called else x.transform
+            parts = [x.input, *(x.transform.args if called else ())]
             if isinstance(stage, n.Identifier):
-                names["transforms"].setdefault(stage.name)
+                parts.append(("transforms", stage.name))
         elif isinstance(x, n.ObjectProperty):
-            if x.computed or keys:
-                walk(x.key)
-            walk(x.value)
+            parts = [x.key, x.value] if x.computed or keys else [x.value]
         else:
-            for c in x.children():
-                walk(c)
-
-    walk(node)
+            parts = list(x.children())
+        rest += reversed(parts)
     return References(*(tuple(names[k]) for k in ("identifiers", "transforms", "functions")))
 
 
+#: Deeper trees are refused before anything walks them by recursion; folding may make shallower ones pass.
+DEEPEST = 200
+
+
 class CompiledExpression:
     """An expression bound to a schema.  ``column`` and ``data_type`` follow later changes of the registry."""
 
     def __init__(self, engine: Engine, source: str, schema: T.StructType):
         self.engine, self.source, self.schema = engine, source, schema
-        self.ast = fold(engine.parse(source))
+        tree, most = engine.parse(source), max(DEEPEST, engine.options.max_depth)
+        if n.depth(tree, most) > most:
+            raise SecurityError("MAX_DEPTH", f"Expression depth exceeds the limit of {engine.options.max_depth}")
+        try:
+            self.ast = fold(tree)
+        except RecursionError:
+            raise SecurityError("MAX_DEPTH", "Expression is nested too deeply") from None
         self.references = references(self.ast)
         self._at, self._value = -1, None
 
     def _lowered(self):
         if self._at != self.engine.registry.version:
-            self._value, self._at = self.engine._lowering(self.source, self.schema).value(self.ast), self.engine.registry.version
+            try:
+                self._value, self._at = self.engine._lowering(self.source, self.schema).value(self.ast), self.engine.registry.version
+            except RecursionError:
+                raise SecurityError("MAX_DEPTH", "Expression is nested too deeply") from None
         return self._value
 
     @property
@@ -191,7 +198,7 @@ class Engine:
             problem = Problem(e.raw_message, format_any(e), e.start, e.end, position_at(source, e.start))
             return Validation(False, errors=(problem,))
         other = parse(source, self.options.lambda_precedence != "standard")
-        warnings = () if other == tree else ("operators after a lambda on the right of an operator belong to that lambda",)
+        warnings = () if n.same_tree(other, tree) else ("operators after a lambda on the right of an operator belong to that lambda",)
         return Validation(True, tree, references(tree), warnings=warnings)
 
     # Over DataFrames, batch or streaming.

@@ -63,13 +63,8 @@ class Policy:
 
     def depth(self, node: n.Node) -> None:
         """The nesting of compound nodes, over all branches."""
-        level, here = 0, [node]
-        while here:
-            compound = [x for x in here if not isinstance(x, n.ATOMS)]
-            level += bool(compound)
-            if level > self.options.max_depth:
-                raise SecurityError("MAX_DEPTH", f"Expression depth exceeds the limit of {self.options.max_depth}")
-            here = [c for x in compound for c in x.children()]
+        if n.depth(node, self.options.max_depth) > self.options.max_depth:
+            raise SecurityError("MAX_DEPTH", f"Expression depth exceeds the limit of {self.options.max_depth}")
 
     def describe(self) -> dict[str, Iterable[str] | None]:
         """The lists that are configured."""

@@ -145,3 +145,31 @@ class LambdaExpression(Node):
 
 LAMBDAS = (LambdaAccessor, LambdaIdentity, LambdaExpression)
 ATOMS = (NumberLiteral, StringLiteral, BooleanLiteral, NullLiteral, UndefinedLiteral, Identifier, LambdaAccessor, LambdaIdentity)
+
+
+def depth(node: Node, most: int) -> int:
+    """The nesting of compound nodes over all branches, counted up to one more than ``most``."""
+    level, here = 0, [node]
+    while here and level <= most:
+        compound = [x for x in here if not isinstance(x, ATOMS)]
+        level += bool(compound)
+        here = [c for x in compound for c in x.children()]
+    return level
+
+
+def same_tree(a: Node, b: Node) -> bool:
+    """Whether two trees are equal, however deep."""
+    rest = [(a, b)]
+    while rest:
+        x, y = rest.pop()
+        if type(x) is not type(y):
+            return False
+        mine, other = list(x.children()), list(y.children())
+        if len(mine) != len(other):
+            return False
+        for f in fields(x):
+            v, w = getattr(x, f.name), getattr(y, f.name)
+            if not isinstance(v, (Node, tuple)) and v != w and not (v != v and w != w):
+                return False
+        rest += zip(mine, other, strict=True)
+    return True

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from exprloom import Engine, SecurityError, references, parse
+from exprloom import Engine, ExpressionError, SecurityError, parse, references
 from exprloom.autocomplete import create_autocomplete
 from exprloom.cache import Cache
 from exprloom.errors import suggest
@@ -114,12 +114,31 @@ def test_streaming(spark, engine, tmp_path):
 
 def test_timeout(spark):
     e = Engine(timeout=200)
-    slow = spark.range(0, 4_000_000_000, numPartitions=4).select(F.sum(F.xxhash64("id")))
+    slow = spark.range(0, 40_000_000_000, numPartitions=4).select(F.max(F.xxhash64("id")))
     with pytest.raises(SecurityError) as error:
         e.collect(slow)
     assert error.value.code == "TIMEOUT"
 
 
+DEEP = {"brackets": "(" * 3000 + "1" + ")" * 3000, "nots": "!" * 5000 + "a", "members": "a" + ".b" * 5000, "sum": "a" + " + a" * 5000, "arrays": "[" * 3000 + "]" * 3000, "templates": "`${" * 3000 + "a" + "}`" * 3000, "choices": "a ? 1 : " * 3000 + "0"}
+
+
+@pytest.mark.parametrize("name", DEEP)
+def test_deep_input_is_refused(spark, name):
+    e, source = Engine(), DEEP[name]
+    found = e.validate(source)
+    assert found.valid == (name in ("members", "sum"))
+    if found.valid:
+        assert found.references.identifiers == ("a",)
+        with pytest.raises(SecurityError) as error:
+            e.evaluate(source, {"a": 1})
+        assert error.value.code == "MAX_DEPTH"
+    else:
+        assert "nested too deeply" in found.errors[0].message
+        with pytest.raises(ExpressionError):
+            e.evaluate(source, {"a": 1})
+
+
 CONTEXT = {"user": {"name": "Alice", "age": 25, "address": {"city": "London", "zip": "1"}}, "items": [1, 2, 3], "users": [{"name": "Alice", "age": 25, "active": True}], "groups": [{"users": [{"name": "x"}]}]}
 
 
