@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from ...errors import ExpressionTypeError
 from ...operators import methods as m
+from .. import dynamic
 from .. import typed as t
 from ..typed import Val
 
@@ -14,6 +15,8 @@ INT = T.IntegerType()
 
 
 def items(name: str, v: Val) -> Val:
+    if v.kind == "variant":
+        return t.array_of(dynamic.as_array(v.col), T.VariantType())
     if v.kind != "array":
         raise ExpressionTypeError(name, "an array", v.label)
     return v
@@ -35,6 +38,14 @@ def last(v: Val) -> Val:
     return t.of(F.try_element_at(v.col, F.lit(-1)), t.element_type(v))
 
 
+def unique(v: Val) -> Val:
+    """Each value once, where it occurs first."""
+    if not isinstance(t.element_type(v), T.VariantType):
+        return t.of(F.array_distinct(v.col), v.type)
+    names = F.transform(v.col, dynamic.identity)
+    return t.of(F.filter(v.col, lambda x, k: F.array_position(names, F.get(names, k)) == k + 1), v.type)
+
+
 def ordered(v: Val) -> Val:
     """Numbers by value, else texts by the root locale's collation; nulls last."""
     item = t.element_type(v)
@@ -75,7 +86,7 @@ def arrays(engine) -> None:
         "last": last,
         "reverse": m.reversed_array,
         "flatten": m.flat,
-        "unique": lambda v: t.of(F.array_distinct(v.col), v.type),
+        "unique": unique,
         "sort": ordered,
     }
     for name, fn in plain.items():

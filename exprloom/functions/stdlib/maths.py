@@ -6,21 +6,28 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ...errors import ExpressionTypeError
+from .. import dynamic
 from .. import typed as t
 from ..typed import Val
 
 
 def digits(name: str, v: Val) -> Column:
     if v.kind == "variant":
-        return F.try_variant_get(v.col, "$", "double")
+        return dynamic.as_double(v.col)
     if v.kind != "number":
         raise ExpressionTypeError(name, "a number", v.label)
     return t.as_double(v)
 
 
 def numbers(name: str, v: Val) -> Val:
+    if v.kind == "variant":
+        v = t.array_of(dynamic.as_array(v.col), T.VariantType())
+    if v.kind == "array" and isinstance(t.element_type(v), T.VariantType):
+        wrong = F.raise_error(F.lit(f'"{name}" expects an array of numbers')).cast("double")
+        return t.array_of(F.transform(v.col, lambda x: F.when(dynamic.is_kind(x, "number"), dynamic.as_double(x)).otherwise(wrong)), t.DOUBLE)
     if v.kind != "array" or t.kind_of(t.element_type(v)) not in ("number", "null"):
         raise ExpressionTypeError(name, "an array of numbers", v.label if v.kind != "array" else f"array of {t.kind_of(t.element_type(v))}")
     item = t.element_type(v)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...errors import ExpressionTypeError
 from ...operators import methods as m
+from .. import dynamic
 from .. import typed as t
 from ..typed import Val
 
@@ -14,7 +15,7 @@ MOST_PADDING = 100_000
 
 def text(name: str, v: Val) -> Val:
     if v.kind == "variant":
-        return t.of(F.try_variant_get(v.col, "$", "string"), t.STRING)
+        return t.of(dynamic.as_string(v.col), t.STRING)
     if v.kind != "string":
         raise ExpressionTypeError(name, "a string", v.label)
     return v

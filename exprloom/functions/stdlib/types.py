@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from .. import dynamic
 from .. import typed as t
 from ..typed import Val
 
@@ -11,10 +10,7 @@ from ..typed import Val
 def _is(kind: str):
     def run(v: Val, *_: Val) -> Val:
         if v.kind == "variant":
-            schema = F.schema_of_variant(v.col)
-            names = {"string": ["STRING"], "number": ["BIGINT", "DOUBLE", "FLOAT"], "array": []}[kind]
-            test = schema.isin(*names) | (F.startswith(schema, F.lit("DECIMAL")) if kind == "number" else F.lit(False))
-            return t.of(F.coalesce(F.startswith(schema, F.lit("ARRAY")) if kind == "array" else test, F.lit(False)), t.BOOLEAN)
+            return t.of(dynamic.is_kind(v.col, kind), t.BOOLEAN)
         return t.of(v.col.isNotNull(), t.BOOLEAN) if v.kind == kind else t.boolean(False)
 
     return run
@@ -23,7 +19,7 @@ def _is(kind: str):
 def is_null(v: Val, *_: Val) -> Val:
     if v.kind == "null":
         return t.boolean(not v.absent)
-    return t.of(v.col.isNull() | F.is_variant_null(v.col) if v.kind == "variant" else v.col.isNull(), t.BOOLEAN)
+    return t.of(dynamic.missing(v.col) if v.kind == "variant" else v.col.isNull(), t.BOOLEAN)
 
 
 def types(engine) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ExpressionTypeError
+from . import dynamic
 
 UNKNOWN = object()
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -127,8 +128,7 @@ def truthy(v: Val) -> Column:
     if kind == "null":
         return F.lit(False)
     if kind == "variant":
-        text = v.col.cast("string")
-        return v.col.isNotNull() & ~F.is_variant_null(v.col) & ~text.isin("", "false", "0", "0.0")
+        return dynamic.truthy(v.col)
     if kind == "function":
         return F.lit(True)
     return v.col.isNotNull()
@@ -149,17 +149,30 @@ def to_text(v: Val, missing: str | None = None) -> Column:
         return F.lit(word)
     if kind == "string":
         text = v.col
-    elif kind in ("boolean", "variant"):
+    elif kind == "boolean":
         text = v.col.cast("string")
+    elif kind == "variant":
+        text = variant_text(v.col)
     elif kind == "number":
         text = number_text(v)
     elif kind == "array":
         text = join(v, F.lit(","))
+    elif kind == "object":
+        text = F.when(v.col.isNotNull(), F.lit(dynamic.OBJECT_TEXT))
     else:
-        raise ExpressionTypeError("string conversion", "a string, number, boolean or array", v.label)
+        raise ExpressionTypeError("string conversion", "a value", v.label)
     return F.coalesce(text, F.lit(word))
 
 
+def variant_text(v: Column, inner: bool = False) -> Column:
+    """A dynamic value as text; null for null.  Arrays are joined by commas; those inside arrays print as JSON."""
+    plain = F.when(dynamic.is_kind(v, "string"), F.try_variant_get(v, "$", "string")).when(dynamic.is_kind(v, "number"), number_text(of(dynamic.as_double(v), DOUBLE))).when(dynamic.is_kind(v, "boolean"), v.cast("string")).when(dynamic.is_kind(v, "object"), F.lit(dynamic.OBJECT_TEXT))
+    if inner:
+        return plain.when(dynamic.is_kind(v, "array"), F.to_json(v))
+    items = F.transform(dynamic.as_array(v), lambda x: F.coalesce(variant_text(x, True), F.lit("")))
+    return plain.when(dynamic.is_kind(v, "array"), F.array_join(items, ","))
+
+
 def join(array: Val, separator: Column) -> Column:
     """Elements as text between separators; nulls are empty."""
     item = element_type(array)
@@ -268,7 +281,9 @@ def to_number(v: Val) -> Column:
         other = F.coalesce(*[F.when(radix == r, F.conv(F.substring(text, F.lit(3), F.length(text)), r, 10).cast("double")) for r in (16, 2, 8)])
         return F.when(text.isNull(), None).when(text == "", F.lit(0.0)).when(~F.rlike(text, F.lit(_NUMERIC)), F.lit(math.nan)).when(radix.isNotNull(), other).otherwise(text.try_cast("double"))
     if kind == "variant":
-        return F.coalesce(F.try_variant_get(v.col, "$", "double"), v.col.cast("string").try_cast("double"))
+        how = dynamic.kind(v.col)
+        text = to_number(of(dynamic.as_string(v.col), STRING))
+        return F.when(how == "number", dynamic.as_double(v.col)).when(how == "string", text).when(how == "boolean", dynamic.as_boolean(v.col).cast("double")).when(how.isin("array", "object"), F.lit(math.nan))
     if kind == "null":
         return v.col.cast("double")
     raise ExpressionTypeError("number conversion", "a string, number or boolean", v.label)

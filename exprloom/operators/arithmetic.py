@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ExpressionTypeError
+from ..functions import dynamic
 from ..functions import typed as t
 from ..functions.typed import Val
 
@@ -76,8 +77,10 @@ def binary(op: str, a: Val, b: Val) -> Val:
         return equal(a, b, op == "!=")
     if op in ("<", ">", "<=", ">="):
         return compare(op, a, b)
-    if op == "+" and ({a.kind, b.kind} & {"string", "array"}):
+    if op == "+" and ({a.kind, b.kind} & {"string", "array", "object"}):
         return t.of(F.concat(t.to_text(a), t.to_text(b)), t.STRING)
+    if op == "+" and "variant" in (a.kind, b.kind):
+        return _dynamic_sum(a, b)
     for v in (a, b):
         if v.kind == "object":
             raise ExpressionTypeError(op, "numbers", v.label)
@@ -98,6 +101,14 @@ def binary(op: str, a: Val, b: Val) -> Val:
     return t.of(x / y if safe else F.when(y == 0, endless).otherwise(x / y), t.DOUBLE)
 
 
+def _dynamic_sum(a: Val, b: Val) -> Val:
+    """Text is joined, other values are added: which of the two is known at run time only."""
+    texts = [dynamic.kind(v.col).isin("string", "array", "object") for v in (a, b) if v.kind == "variant"]
+    joined = F.concat(t.to_text(a), t.to_text(b)).cast("variant")
+    added = (t.to_number(a) + t.to_number(b)).cast("variant")
+    return t.of(F.when(texts[0] if len(texts) == 1 else texts[0] | texts[1], joined).otherwise(added), T.VariantType())
+
+
 def comparable(a: Val, b: Val) -> tuple[Column, Column]:
     """Two numbers in a type that keeps a comparison with a column bare, so that scans can apply it."""
     for v, w in ((a, b), (b, a)):
@@ -115,6 +126,10 @@ def compare(op: str, a: Val, b: Val) -> Val:
     """A relation; null is compared like NaN, with nothing true, unless it is a literal null, which is 0."""
     if any(v.kind == "null" and v.absent for v in (a, b)):
         return t.boolean(False)
+    texts = None
+    if {a.kind, b.kind} <= {"string", "variant"} and "variant" in (a.kind, b.kind):
+        x, y = (dynamic.as_string(v.col) if v.kind == "variant" else v.col for v in (a, b))
+        texts = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
     if a.kind == "string" and b.kind == "string":
         x, y, guards = a.col, b.col, []
     else:
@@ -126,11 +141,11 @@ def compare(op: str, a: Val, b: Val) -> Val:
         above = [(a, x)] if op in (">", ">=") else [(b, y)]
         if op in ("<=", ">="):
             above = [(a, x), (b, y)]
-        guards = [~F.isnan(c) for v, c in above if not t.finite_type(v) or v.kind == "string"]
+        guards = [~F.isnan(c) for v, c in above if not t.finite_type(v) or v.kind in ("string", "variant")]
     result = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
     for guard in guards:
         result = result & guard
-    return t.of(result, t.BOOLEAN)
+    return t.of(result if texts is None else F.coalesce(texts, result), t.BOOLEAN)
 
 
 def equal(a: Val, b: Val, negate: bool) -> Val:
@@ -140,9 +155,11 @@ def equal(a: Val, b: Val, negate: bool) -> Val:
         return t.boolean((a.absent == b.absent) != negate)
     if a.kind == "null" or b.kind == "null":
         other = b if a.kind == "null" else a
-        return t.of(other.col.isNotNull() if negate else other.col.isNull(), t.BOOLEAN)
+        missing = dynamic.missing(other.col) if other.kind == "variant" else other.col.isNull()
+        return t.of(~missing if negate else missing, t.BOOLEAN)
     if "variant" in (a.kind, b.kind):
-        a, b = _from_variant(a, b), _from_variant(b, a)
+        same = _dynamic_equal(a, b)
+        return t.of(~same if negate else same, t.BOOLEAN)
     if a.kind != b.kind:
         both_null = a.col.isNull() & b.col.isNull() if not (a.known or b.known) else F.lit(False)
         return t.of(~both_null if negate else both_null, t.BOOLEAN) if not (a.known or b.known) else t.boolean(negate)
@@ -164,12 +181,19 @@ def equal(a: Val, b: Val, negate: bool) -> Val:
     return t.of(~same if negate else same, t.BOOLEAN)
 
 
-def _from_variant(v: Val, other: Val) -> Val:
-    """A variant as the other side's type."""
-    if v.kind != "variant":
-        return v
-    target = {"number": "double", "boolean": "boolean"}.get(other.kind, "string")
-    return t.of(F.try_variant_get(v.col, "$", target), {"double": t.DOUBLE, "boolean": t.BOOLEAN, "string": t.STRING}[target])
+def _dynamic_equal(a: Val, b: Val) -> Column:
+    """Whether a dynamic value is the same, in kind and content, as another or as a value of a static type."""
+    if a.kind != "variant":
+        a, b = b, a
+    as_kind = {"string": dynamic.as_string, "number": dynamic.as_double, "boolean": dynamic.as_boolean}.get(b.kind)
+    if as_kind is None:
+        return dynamic.equal(a.col, t.cast_to(b, T.VariantType()))
+    x, y = as_kind(a.col), t.as_double(b) if b.kind == "number" else b.col
+    same = x == y
+    if b.kind == "number" and not t.finite_type(b):
+        same = same & ~F.isnan(y)
+    same = F.coalesce(same, F.lit(False))
+    return same if b.known else same | (dynamic.missing(a.col) & b.col.isNull())
 
 
 def contains(needle: Val, pool: Val, negate: bool, literal: list[Val] | None) -> Val:
@@ -188,8 +212,8 @@ def contains(needle: Val, pool: Val, negate: bool, literal: list[Val] | None) ->
     elif pool.kind == "array":
         found = array_has(pool, needle)
     elif pool.kind == "variant":
-        text = pool.col.cast("string")
-        found = F.coalesce(F.contains(text, t.to_text(needle)), F.lit(False))
+        inside = F.contains(dynamic.as_string(pool.col), t.to_text(needle))
+        found = F.coalesce(inside, array_has(t.array_of(dynamic.as_array(pool.col), T.VariantType()), needle))
     else:
         raise ExpressionTypeError("in", "a string or array", pool.label)
     return t.of(~found if negate else found, t.BOOLEAN)
@@ -198,10 +222,10 @@ def contains(needle: Val, pool: Val, negate: bool, literal: list[Val] | None) ->
 def array_has(array: Val, needle: Val) -> Column:
     """Whether an element is the same value; NaN is found, null too."""
     item = t.element_type(array)
-    if t.common_type([item, needle.type]) is None and not isinstance(item, T.VariantType):
+    if t.common_type([item, needle.type]) is None and not isinstance(item, T.VariantType) and needle.kind != "variant":
         return F.lit(False)
     if needle.kind == "null":
-        test = lambda x: x.isNull()
+        test = dynamic.missing if isinstance(item, T.VariantType) else lambda x: x.isNull()
     elif needle.kind == "number" and isinstance(item, (*t.INTEGRAL, *t.FLOATING, T.DecimalType)):
         want = t.as_double(needle)
         test = lambda x: x.cast("double").eqNullSafe(want)
@@ -263,6 +287,9 @@ def member(v: Val, name: str) -> Val:
         return t.of(F.try_element_at(v.col, F.lit(name).cast(v.type.keyType)), v.type.valueType)
     if kind == "variant":
         quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        if name == "length":
+            size = F.when(dynamic.is_kind(v.col, "string"), F.length(dynamic.as_string(v.col))).when(dynamic.is_kind(v.col, "array"), F.size(dynamic.as_array(v.col)))
+            return t.of(size.otherwise(F.try_variant_get(v.col, "$['length']", "int")), T.IntegerType())
         return t.of(F.try_variant_get(v.col, f"$['{quoted}']", "variant"), T.VariantType())
     if kind == "function":
         raise ExpressionTypeError(name, "a value", "function")

@@ -5,6 +5,7 @@ Positions count code points.  Null receivers give null, or fail in strict mode."
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ExpressionTypeError, SecurityError
+from ..functions import dynamic
 from ..functions import typed as t
 from ..functions.typed import Val
 from . import arithmetic as ops
@@ -47,7 +49,7 @@ def call(receiver: Val, name: str, args: list[Val], strict: bool = False) -> Val
             raise ExpressionTypeError(name, "a string, array or number", receiver.label)
         return t.null(True)
     if receiver.kind == "variant":
-        receiver = t.of(receiver.col.cast("string"), t.STRING)
+        return _dynamic_call(receiver.col, name, args, strict)
     found = TABLES.get(receiver.kind, {}).get(name)
     if found is None:
         raise SecurityError("METHOD_NOT_ALLOWED", f'Method "{name}" is not allowed on {receiver.label}')
@@ -65,6 +67,24 @@ def call(receiver: Val, name: str, args: list[Val], strict: bool = False) -> Val
         raise ExpressionTypeError(name, "other arguments", str(e)) from None
 
 
+def _dynamic_call(col: Column, name: str, args: list[Val], strict: bool) -> Val:
+    """A method of a JSON value: of its text, array or number, whichever of those has the method and the value is."""
+    views = {"string": t.of(dynamic.as_string(col), t.STRING), "array": t.array_of(dynamic.as_array(col), T.VariantType()), "number": t.of(dynamic.as_double(col), t.DOUBLE)}
+    views = {kind: view for kind, view in views.items() if name in TABLES[kind]}
+    if not views:
+        raise SecurityError("METHOD_NOT_ALLOWED", f'Method "{name}" is not allowed on a value')
+    if strict:
+        right = dynamic.kind(col).isin(*views)
+        message = F.lit(f'"{name}" expects a value that is {" or ".join(views)}')
+        col = F.when(right, col).otherwise(F.raise_error(message))
+        views = {kind: t.of({"string": dynamic.as_string, "array": dynamic.as_array, "number": dynamic.as_double}[kind](col), view.type) for kind, view in views.items()}
+    results = [(kind, call(view, name, args)) for kind, view in views.items()]
+    out = results[-1][1]
+    for kind, value in reversed(results[:-1]):
+        out = ops.choose(dynamic.is_kind(col, kind), value, out)
+    return out
+
+
 def _int(v: Val | None, default: int | Column) -> Column:
     """An argument as a whole number, cut towards zero; NaN is 0."""
     if v is None or (v.kind == "null" and v.absent):
@@ -205,7 +225,9 @@ def replace(s: Val, old: Val, new: Val | None = None) -> Val:
 @method(STRINGS, "replaceAll")
 def replace_all(s: Val, old: Val, new: Val | None = None) -> Val:
     want = _text(old)
-    put = F.lit("undefined") if new is None else _expanded(new, want, F.lit("$`"), F.lit("$'"))
+    if new is not None and new.known and re.search(r"\$[`']", str(new.const)):
+        return _str(_replaced_with_surroundings(s.col, want, new))
+    put = F.lit("undefined") if new is None else _expanded(new, want, F.lit(""), F.lit(""))
     if old.known and old.const == "":
         chars = F.split(s.col, "")
         spread = F.concat(put, F.call_function("array_join", chars, put), put)
@@ -213,6 +235,22 @@ def replace_all(s: Val, old: Val, new: Val | None = None) -> Val:
     return _str(F.replace(s.col, want, put))
 
 
+def _replaced_with_surroundings(text: Column, want: Column, new: Val) -> Column:
+    """Every occurrence replaced by a text that tells what is before or after it.
+
+    The text is split at the occurrences; what stands before the k-th is the first k parts joined again."""
+    whole = F.split(text, F.concat(F.lit("\\Q"), F.replace(want, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
+    letters = F.concat(F.array(F.lit("")), F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), F.array(F.lit("")))
+    parts = F.when(want == "", F.when(text == "", F.array(F.lit(""), F.lit(""))).otherwise(letters)).otherwise(whole)
+    joined = lambda some: F.call_function("array_join", some, want)
+
+    def piece(part: Column, k: Column) -> Column:
+        before, after = joined(F.slice(parts, F.lit(1), k + 1)), joined(F.slice(parts, k + 2, F.size(parts)))
+        return F.concat(part, F.when(k < F.size(parts) - 1, _expanded(new, want, before, after)).otherwise(F.lit("")))
+
+    return F.call_function("array_join", F.transform(parts, piece), F.lit(""))
+
+
 @method(STRINGS, "padStart")
 def pad_start(s: Val, n: Val, fill: Val | None = None) -> Val:
     return _pad(s, n, fill, F.lpad)
@@ -242,7 +280,8 @@ def split(s: Val, separator: Val | None = None, limit: Val | None = None) -> Val
         pattern = F.concat(F.lit("\\Q"), F.replace(t.to_text(separator), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         parts = F.split(s.col, pattern, -1)
     if limit is not None and not limit.absent:
-        parts = F.slice(parts, F.lit(1), F.greatest(_int(limit, 0), F.lit(0)))
+        most = _int(limit, 0)  # a negative one wraps around to more parts than there can be
+        parts = F.when(most < 0, parts).otherwise(F.slice(parts, F.lit(1), F.greatest(most, F.lit(0))))
     return t.array_of(F.when(s.col.isNotNull(), parts), t.STRING)
 
 

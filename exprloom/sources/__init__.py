@@ -53,6 +53,14 @@ def _shaped(value: Any, type_: T.DataType) -> Any:
     return value
 
 
+def _from_json(field: T.StructField):
+    """A context's key out of its JSON, as the type that was inferred; what holds nulls only inside is read as null texts."""
+    if isinstance(field.dataType, T.NullType):
+        return F.lit(None)
+    name = field.name.replace("\\", "\\\\").replace("'", "\\'")
+    return F.try_variant_get("v", f"$['{name}']", field.dataType.simpleString().replace("void", "string"))
+
+
 def from_contexts(spark: SparkSession, contexts: Sequence[Mapping[str, Any]]) -> DataFrame:
     """One row per context object, with all their keys as columns."""
     schema = merged([infer_type(c) for c in contexts])
@@ -62,7 +70,7 @@ def from_contexts(spark: SparkSession, contexts: Sequence[Mapping[str, Any]]) ->
         import json
 
         text = spark.createDataFrame([(json.dumps(c),) for c in contexts], "j string").select(F.parse_json("j").alias("v"))
-        return text.select(*[F.try_variant_get("v", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in schema.fields])
+        return text.select(*[_from_json(f).alias(f.name) for f in schema.fields])
     return spark.createDataFrame([_shaped(c, schema) for c in contexts], schema)
 
 

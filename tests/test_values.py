@@ -96,3 +96,26 @@ def test_strict_mode(spark):
     assert [r[0] for r in df.select(strict.column("s?.trim()", df)).collect()] == ["a", None]
     with pytest.raises(ExpressionReferenceError):
         Engine(missing="error").column("nope + 1", df)
+
+
+MIXED = {"mixed": [1, "5", None, "false", "0", "1", True, {"a": 1}, [1, 2], 0, ""], "none": None, "rec": {"a": 1}, "five": 5, "one": "1", "words": ["a", None]}
+DYNAMIC = [
+    ("mixed[0] == mixed[5]", False), ("mixed[0] == 1", True), ("mixed[5] == '1'", True), ("mixed[5] == 1", False), ("mixed[0] == one", False), ("mixed[5] == one", True), ("mixed[2] == null", True), ("mixed[2] != null", False), ("mixed[6] == true", True), ("mixed[0] == mixed[0]", True), ("mixed[2] == none", True), ("mixed[6] == 1", False),
+    ("mixed.includes(5)", False), ("mixed.includes('5')", True), ("5 in mixed", False), ("'5' in mixed", True), ("null in mixed", True), ("five in mixed", False), ("mixed[1] in ['5']", True), ("mixed.indexOf('1')", 5), ("mixed.indexOf(1)", 0), ("mixed.lastIndexOf('0')", 4),
+    ("mixed.filter(. == 1)", [1]), ("mixed[3] ? 'y' : 'n'", "y"), ("mixed[4] ? 'y' : 'n'", "y"), ("mixed[9] ? 'y' : 'n'", "n"), ("mixed[10] ? 'y' : 'n'", "n"), ("mixed[2] ? 'y' : 'n'", "n"), ("mixed[7] ? 'y' : 'n'", "y"), ("!mixed[3]", False), ("mixed |> filter |> count", 8),
+    ("mixed[1] + 1", "51"), ("mixed[0] + 1", 2.0), ("mixed[0] + mixed[1]", "15"), ("1 + mixed[6]", 2.0), ("mixed[1] * 2", 10.0), ("mixed[8] + '!'", "1,2!"), ("mixed[0] - mixed[5]", 0.0),
+    ("[1, 'a', 1, 'a', null, '1'] |> unique", [1.0, "a", None, "1"]), ("[1, '1', 1] |> unique |> count", 2), ("mixed[1].length", 1), ("mixed[8].length", 2), ("mixed.length", 11), ("mixed[3].toUpperCase()", "FALSE"), ("mixed[8].map(. + 1).join()", "2,3"), ("mixed[8].includes(2)", True), ("mixed[3].includes('als')", True), ("mixed[0].toFixed(1)", "1.0"), ("mixed[0].toString()", "1"), ("mixed[8].slice(1).join()", "2"),
+    ("`${rec} ${mixed[7]} ${mixed[8]} ${mixed[2]}`", "[object Object] [object Object] 1,2 null"), ("rec + 1", "[object Object]1"), ("'' + rec", "[object Object]"), ("mixed[1] < '6'", True), ("mixed[1] < 10", True), ("'10' < mixed[1]", True), ("mixed[7] >= 0", False),
+    ("mixed[1] |> isString", True), ("mixed[1] |> isNumber", False), ("mixed[0] |> isNumber", True), ("mixed[8] |> isArray", True), ("mixed[2] |> isNull", True), ("mixed[3] |> toBool", True), ("mixed[9] |> toBool", False), ("mixed[1] |> toNumber", 5.0), ("mixed[8] |> sum", 3.0), ("mixed[3] |> upper", "FALSE"),
+    ("mixed.at(1)", "5"), ("'a-b-c'.split('-', -1)", ["a", "b", "c"]), ("'a-b'.split('-', 0)", []), ("'abcb'.replaceAll('b', \"[$`|$'|$&]\")", "a[a|cb|b]c[abc||b]"), ("'ab'.replaceAll('', \"<$`>\")", "<>a<a>b<ab>"), ("'xaxa' |> replaceAll('a', \"$'\")", "xxax"),
+]
+
+
+def test_dynamic_values(spark, engine):
+    got = evaluate_all(spark, engine, MIXED, [s for s, _ in DYNAMIC])
+    wrong = [(s, g, w) for (s, w), g in zip(DYNAMIC, got, strict=True) if not same(g, w)]
+    assert not wrong
+
+
+def test_mixed_list_beside_a_null_key(spark, engine):
+    assert engine.evaluate("a[1] + (b ?? 'none')", {"a": [1, "x"], "b": None, "c": [None], "d": {"e": None}}) == "xnone"
