@@ -55,11 +55,7 @@ def ordered(v: Val) -> Val:
         placed = F.array_sort(F.transform(v.col, lambda x: F.collate(x, "UNICODE")))
         return t.array_of(F.transform(placed, lambda x: F.collate(x, "UTF8_BINARY")), t.STRING)
 
-    def compare(x, y):
-        p, q = (F.collate(t.to_text(t.of(c, item)), "UNICODE") for c in (x, y))
-        return F.when(p < q, -1).when(p > q, 1).otherwise(0)
-
-    return t.of(F.array_sort(v.col, compare), v.type)
+    return t.of(m.placed_by(v.col, lambda x: F.collate(t.to_text(t.of(x, item)), "UNICODE")), v.type)
 
 
 def _any(v: Val, fn: Val | None) -> Val:

@@ -33,6 +33,9 @@ def numbers(name: str, v: Val) -> Val:
     item = t.element_type(v)
     if item == t.DOUBLE:
         return v
+    if v.parts is not None:
+        cols = tuple(t.cast_to(t.of(x, item), t.DOUBLE) for x in v.parts)
+        return Val(F.array(*cols), T.ArrayType(t.DOUBLE, True), parts=cols)
     return t.array_of(F.transform(v.col, lambda x: t.cast_to(t.of(x, item), t.DOUBLE)), t.DOUBLE)
 
 
@@ -48,6 +51,8 @@ def _whole(x: Column, fn) -> Column:
 
 
 def total(v: Val) -> Column:
+    if v.parts is not None:
+        return sum(v.parts, F.lit(0.0))
     return F.aggregate(v.col, F.lit(0.0), lambda a, x: a + x)
 
 

@@ -30,13 +30,15 @@ DOUBLE, STRING, BOOLEAN, VOID = T.DoubleType(), T.StringType(), T.BooleanType(),
 class Val:
     """A column with its type; ``const`` is its value where that is known; ``absent`` marks undefined as against null.
 
-    ``fn`` makes it a function of an item instead, which only operations on arrays accept."""
+    ``fn`` makes it a function of an item instead, which only operations on arrays accept.  ``parts`` are the elements of an
+    array that was written out, so that folds over it need no loop."""
 
     col: Column | None
     type: T.DataType
     const: Any = UNKNOWN
     absent: bool = False
     fn: Callable[[Val], Val] | None = None
+    parts: tuple[Column, ...] | None = None
 
     @property
     def kind(self) -> str:
@@ -294,8 +296,11 @@ SPACES = "\t\n\x0b\x0c\r   " + "".join(map(chr, range(0x2000, 0x200B))) + "
 
 
 def trim(col: Column, left: bool = True, right: bool = True) -> Column:
+    """Without white space at the ends.  A text that begins and ends with printable ASCII is passed as it is: searching the set
+    of all spaces costs more."""
     side = {(True, True): F.btrim, (True, False): F.ltrim, (False, True): F.rtrim}[left, right]
-    return side(col, F.lit(SPACES))
+    ends = [F.ascii(col).between(33, 126)] * left + [F.ascii(F.substring(col, -1, 1)).between(33, 126)] * right
+    return F.when(ends[0] if len(ends) == 1 else ends[0] & ends[1], col).otherwise(side(col, F.lit(SPACES)))
 
 
 def element_type(array: Val) -> T.DataType:

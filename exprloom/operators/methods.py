@@ -500,12 +500,13 @@ def sorted_array(a: Val, order: Val | None = None) -> Val:
     if order is not None and not order.absent:
         raise ExpressionTypeError("toSorted", "no argument", order.label)
     item = t.element_type(a)
+    return t.of(placed_by(a.col, lambda x: t.to_text(t.of(x, item))), a.type)
 
-    def compare(x: Column, y: Column) -> Column:
-        p, q = t.to_text(t.of(x, item)), t.to_text(t.of(y, item))
-        return F.when(x.isNull() & y.isNull(), 0).when(x.isNull(), 1).when(y.isNull(), -1).when(p < q, -1).when(p > q, 1).otherwise(0)
 
-    return t.of(F.array_sort(a.col, compare), a.type)
+def placed_by(col: Column, key: Callable[[Column], Column]) -> Column:
+    """The elements in the order of a key that is computed once for each; nulls last, ties as they were."""
+    keyed = F.transform(col, lambda x, k: F.struct(x.isNull().alias("last"), key(x).alias("key"), k.alias("at")))
+    return F.transform(F.array_sort(keyed), lambda s: F.get(col, s["at"]))
 
 
 @method(ARRAYS, "toSpliced")

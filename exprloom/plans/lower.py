@@ -177,7 +177,7 @@ class Lowering:
         def flush() -> None:
             if singles:
                 cols, type_ = t.unify(singles)
-                runs.append(t.array_of(F.array(*cols), type_))
+                runs.append(Val(F.array(*cols), T.ArrayType(type_, True), parts=tuple(cols)))
                 singles.clear()
 
         for element in node.elements:
@@ -196,7 +196,7 @@ class Lowering:
         flush()
         if not runs:
             return t.array_of(F.array().cast("array<void>"), t.VOID)
-        return methods.concatenated(runs)
+        return runs[0] if len(runs) == 1 else methods.concatenated(runs)
 
     def spread(self, element: n.SpreadElement) -> list[Val] | Val:
         """The elements, where they are known while compiling, else an array column no longer than the limit."""
