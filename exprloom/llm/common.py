@@ -58,6 +58,28 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(slow)
 
 
+class Memo(dict):
+    """Answers of ``make`` by word.  Words of over ``longest`` characters are not kept, and beyond ``most`` bytes the memo
+    starts afresh, so that text without spaces, whose "words" are long and never come again, takes no memory."""
+
+    #: What an entry costs beside its word, about.
+    ENTRY = 150
+
+    def __init__(self, make: Callable, most: int = 96 << 20, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.held = make, most, longest, 0
+
+    def __missing__(self, word):
+        value = self.make(word)
+        if len(word) <= self.longest:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[word] = value
+            self.held += len(word) + self.ENTRY
+        return value
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     """A ``mapInArrow`` function that applies ``fn`` to each batch."""
 

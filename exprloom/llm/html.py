@@ -5,7 +5,13 @@ path the text length and the punctuation of all its blocks are added up and divi
 blocks, less what is link text.  Both ratios are smoothed along the page and fused by
 multiplication; paths above a threshold are content.  The text is every block on a content path, short
 ones too, and the headings right before them; where articles hold such blocks, only what lies in
-articles.  What stands in navigation, forms, adverts, comments and the like is left out before.
+articles.
+
+What stands in navigation, forms, scripts and hidden elements is left out before.  Class, id and role are
+hints: an element whose name is that of page furniture is left out; a name that merely contains such
+a word, as wrappers often have ("layout has-sidebar"), counts only if the element does not hold most of the
+page's text.  Time and memory are linear in the page: paths are interned as parent and tag, and the
+scanner never looks at a character twice for want of an end.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,141 +36,254 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "d
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share|sharing|sidebar|side-bar|related|recommend\w*|comment|comments|commentlist|disqus\w*|reply|replies|respond|breadcrumb\w*|menu\w*|nav|navbar|navigation|footer|masthead|toolbar|pagination|pager|widget\w*|skip|search|tags|complementary|contentinfo|copyright|disclaimer|feedback|rating|print)(?:$|[\s_-])",
-    re.I,
-)
-HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header|topbar|banner)(?:$|[\s_-])", re.I)
+WORDS = r"ads?|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share|sharing|sidebar|related|recommend\w*|comments?|commentlist|disqus\w*|reply|replies|respond|breadcrumbs?|menus?|nav|navbar|navigation|footer|masthead|toolbar|pagination|pager|widgets?|skip|search|tags|complementary|contentinfo|copyright|disclaimer|feedback|rating|print"
+TOP_WORDS = "header|topbar"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：«»\"“”„]")
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RAW_END = {name: re.compile(rf"</{name}\s*[^>]*>", re.I) for name in RAW}
+_EXACT, _PART = re.compile(rf"(?:{WORDS})", re.I), re.compile(rf"(?:^|[_-])(?:{WORDS})(?:$|[_-])", re.I)
+_TOP_EXACT, _TOP_PART = re.compile(rf"(?:{TOP_WORDS})", re.I), re.compile(rf"(?:^|[_-])(?:{TOP_WORDS})(?:$|[_-])", re.I)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r">|=\s*([\"'])")
 _SPACE = re.compile(r"\s+")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"[^\s=/>]+|=")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+
+OPEN, MAYBE, OUT = range(3)
 
 
 @dataclass
 class Block:
-    """A run of text between block boundaries: its path, its text, how much of it is link text, and its container."""
+    """A run of text between block boundaries: the number and the last tag of its path, its text, how much of it is link
+    text, the article or main element it lies in (0: none), and the nearest element around it that may be furniture (-1: none)."""
 
-    path: tuple[str, ...]
+    path: int
+    tag: str
     text: str
     linked: int
     region: int
-    parent: tuple[int, ...]
+    doubt: int
+
+
+@dataclass
+class Element:
+    """An open element: its tag, path, region, whether it is left out, and the nearest doubtful element from it upwards."""
+
+    tag: str
+    path: int
+    region: int
+    out: bool
+    doubt: int
+
+
+def _tag_end(page: str, at: int, lost: set[str]) -> int:
+    """Where the tag whose name ends at ``at`` ends, behind its ``>``; -1 if it never does.  A ``>`` inside a quoted value does
+    not count; a quote that is never closed does not quote.  ``lost`` remembers the quotes that do not occur any more."""
+    while stop := _STOP.search(page, at):
+        if stop[1] is None:
+            return stop.end()
+        end = -1 if stop[1] in lost else page.find(stop[1], stop.end())
+        if end < 0:
+            lost.add(stop[1])
+        at = stop.end() if end < 0 else end + 1
+    return -1
+
+
+def attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name, from what stands between a tag's name and its end."""
+    found: dict[str, str] = {}
+    at, size = 0, len(text)
+    while (at := _GAP.match(text, at).end()) < size:
+        key = _KEY.match(text, at)
+        if key is None:
+            at += 1
+            continue
+        name, at = key[0].lower(), key.end()
+        value = ""
+        after = _SPACE.match(text, at)
+        equals = after.end() if after else at
+        if text[equals : equals + 1] == "=":
+            after = _SPACE.match(text, equals + 1)
+            at = after.end() if after else equals + 1
+            quote = text[at : at + 1]
+            end = text.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+            if end >= 0:
+                value, at = text[at + 1 : end], end + 1
+            else:
+                plain = re.compile(r"[^\s]*").match(text, at)
+                value, at = plain[0], plain.end()
+        found.setdefault(name, html.unescape(value))
+    return found
 
 
-def _banned(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is page furniture.  A header inside an article is the article's own."""
+def _judge(tag: str, attributes_text: str, inside: bool) -> int:
+    """Whether an element is page furniture by its kind or its own name (OUT), may be by a part of its name (MAYBE), or is
+    not.  A header inside an article is the article's own, and headings are never furniture by name."""
     if tag in BANNED or (tag == "header" and not inside):
-        return True
-    if not attributes or attributes.isspace():
-        return False
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
+        return OUT
+    if not attributes_text or attributes_text.isspace():
+        return OPEN
+    found = attributes(attributes_text)
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
+        return OUT
+    if tag in ("html", "body", "main") or tag in HEADINGS:
+        return OPEN
+    out = OPEN
+    for name in " ".join(found.get(k, "") for k in ("class", "id", "role")).split():
+        if _EXACT.fullmatch(name) or (not inside and _TOP_EXACT.fullmatch(name)):
+            return OUT
+        if _PART.search(name) or (not inside and _TOP_PART.search(name)):
+            out = MAYBE
+    return out
+
+
+class Reader:
+    """One pass over a page; unclosed and misnested tags are tolerated as browsers do."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.doubts: list[int] = []  # for each doubtful element the nearest doubtful one around it
+        self.paths: dict[tuple[int, str], int] = {}
+        self.stack: list[Element] = [Element("", 0, 0, False, -1)]
+        self.open: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.links = self.linked = self.regions = 0
+        self.muted: tuple[str, int] | None = None  # an inline element that is left out, and how often it is open
+
+    def flush(self) -> None:
+        if self.parts:
+            text = _SPACE.sub(" ", "".join(self.parts)).strip()
+            top = self.stack[-1]
+            if text and not top.out:
+                self.blocks.append(Block(top.path, top.tag, text, min(self.linked, len(text)), top.region, top.doubt))
+            self.parts.clear()
+        self.linked, self.muted = 0, None
+
+    def add(self, text: str) -> None:
+        if text and self.muted is None:
+            text = html.unescape(text)
+            self.parts.append(text)
+            if self.links:
+                self.linked += len(text.strip())
+
+    def push(self, tag: str, verdict: int) -> None:
+        up = self.stack[-1]
+        path = self.paths.setdefault((up.path, tag), len(self.paths) + 1)
+        region, doubt = up.region, up.doubt
+        if tag in ("article", "main") and not region:
+            self.regions += 1
+            region = self.regions
+        if verdict == MAYBE and not up.out:
+            self.doubts.append(doubt)
+            doubt = len(self.doubts) - 1
+        self.open[tag] += 1
+        self.stack.append(Element(tag, path, region, up.out or verdict == OUT, doubt))
+
+    def close(self, tags: set[str], within: set[str] | frozenset[str] = frozenset()) -> bool:
+        """Close the nearest open element among ``tags``, with all inside it, unless one of ``within`` is nearer."""
+        if not any(self.open[t] for t in tags):
+            return False
+        at = len(self.stack) - 1
+        while at and self.stack[at].tag not in tags:
+            if self.stack[at].tag in within:
+                return False
+            at -= 1
+        self.flush()
+        for e in self.stack[at:]:
+            self.open[e.tag] -= 1
+        del self.stack[at:]
         return True
-    if tag in ("html", "body", "main", "article"):
-        return tag == "article" and bool(FURNITURE.search(f"{found.get('class', '')} {found.get('id', '')}"))
-    for name in ("class", "id", "role"):
-        value = found.get(name, "")
-        if value and (FURNITURE.search(value) or (not inside and HEADER.search(value))):
-            return True
-    return False
 
-
-def blocks_of(page: str) -> list[Block]:
-    """The page's visible text blocks in order; unclosed and misnested tags are tolerated as browsers do."""
-    found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, whether it or an ancestor is furniture, its number
-    links = number = linked = 0
-    parts: list[str] = []
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text and not (stack and stack[-1][1]):
-                region = next((n for tag, _, n in stack if tag in ("article", "main")), 0)
-                found.append(Block(tuple(t for t, _, _ in stack), text, min(linked, len(text)), region, tuple(n for _, _, n in stack)))
-            parts.clear()
-        linked = 0
-
-    def close(upto: int) -> None:
-        flush()
-        del stack[upto:]
-
-    def add(text: str) -> None:
-        nonlocal linked
-        if text:
-            text = html.unescape(text)
-            parts.append(text)
-            if links:
-                linked += len(text.strip())
-
-    at, size = 0, len(page)
-    while at < size:
-        mark = _MARKUP.search(page, at)
-        if mark is None:
-            add(page[at:])
-            break
-        add(page[at : mark.start()])
-        at = mark.end()
-        name = mark[2]
-        if name is None:
-            continue
-        tag = name.lower()
-        if tag in RAW:
-            if not mark[1]:
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else size
-            continue
-        if tag in INLINE:
-            if tag == "a":
-                links = max(0, links - 1) if mark[1] else links + 1
-            elif tag == "br":
-                parts.append(" ")
-            elif tag in ("span", "small", "label", "code", "mark", "time") and not mark[1] and mark[3] and _banned(tag, mark[3], True):
-                at = _skip(page, at, tag)
-            continue
-        if mark[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if depth is not None:
-                close(depth)
-                links = 0
+    def inline(self, tag: str, closing: bool, rest: str) -> None:
+        if self.muted is not None:
+            if tag == self.muted[0]:
+                depth = self.muted[1] + (-1 if closing else 1)
+                self.muted = (tag, depth) if depth else None
+            return
+        if tag == "a":
+            self.links = max(0, self.links - 1) if closing else self.links + 1
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag not in VOID and not closing and rest and _judge(tag, rest, True) == OUT:
+            self.muted = (tag, 1)
+
+    def block(self, tag: str, closing: bool, rest: str) -> None:
+        if closing:
+            if self.close({tag}):
+                self.links = 0
             else:
-                flush()
-            continue
+                self.flush()
+            return
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if depth is not None:
-                close(depth)
+            self.close({"p"})
         if tag in SAME:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SCOPE[tag]:
-                    break
-                if stack[k][0] in SAME[tag]:
-                    close(k)
-        if tag == "body" and stack:
-            stack[:] = [s for s in stack if s[0] == "html"]
-        flush()
-        if tag in VOID:
-            continue
-        number += 1
-        inside = any(t in ("article", "main") for t, _, _ in stack)
-        stack.append((tag, bool(stack and stack[-1][1]) or _banned(tag, mark[3], inside), number))
-    flush()
-    return found
+            while self.close(SAME[tag], SCOPE[tag]):
+                pass
+        if tag == "body":
+            self.close({"head"})
+        self.flush()
+        if tag not in VOID:
+            self.push(tag, _judge(tag, rest, self.stack[-1].region > 0))
+
+    def read(self, page: str) -> None:
+        at, size, lost = 0, len(page), set()
+        while at < size:
+            mark = page.find("<", at)
+            if mark < 0:
+                self.add(page[at:])
+                break
+            name = _NAME.match(page, mark + 1)
+            if name is None:
+                after = page[mark + 1 : mark + 2]
+                if after not in ("!", "?", "/") or not after:
+                    self.add(page[at : mark + 1])  # a bare sign
+                    at = mark + 1
+                    continue
+                self.add(page[at:mark])
+                end = page.find("-->", mark + 2) + 2 if page.startswith("<!--", mark) else page.find(">", mark)
+                at = size if end < mark + 2 else end + 1
+                continue
+            self.add(page[at:mark])
+            at = _tag_end(page, name.end(), lost)
+            if at < 0:
+                break
+            closing = name[0][0] == "/"
+            tag, rest = name[0].lstrip("/").lower(), page[name.end() : at - 1]
+            if tag in RAW:
+                if not closing:
+                    end = _RAW_END[tag].search(page, at)
+                    at = end.end() if end else size
+            elif tag in INLINE:
+                self.inline(tag, closing, rest)
+            else:
+                self.block(tag, closing, rest)
+        self.flush()
 
 
-def _skip(page: str, at: int, tag: str) -> int:
-    """Behind the end of the inline element that begins before ``at``."""
-    depth = 1
-    for mark in re.finditer(rf"<(/?){tag}\b[^>]*>", page[at:], re.I):
-        depth += -1 if mark[1] else 1
-        if not depth:
-            return at + mark.end()
-    return at
+def blocks_of(page: str) -> list[Block]:
+    """The page's visible text blocks in order, without what stands in page furniture.
+
+    An element that may be furniture by a part of its name is none if it holds at least half of the text: of the text in
+    articles if there is any, else of all that is left."""
+    reader = Reader()
+    reader.read(page)
+    blocks, doubts = reader.blocks, reader.doubts
+    if not doubts:
+        return blocks
+    inside = any(b.region for b in blocks)
+    own = [len(b.text) - b.linked if b.region or not inside else 0 for b in blocks]
+    held = [0] * len(doubts)
+    for b, n in zip(blocks, own, strict=True):
+        if b.doubt >= 0:
+            held[b.doubt] += n
+    for k in range(len(doubts) - 1, -1, -1):  # an inner element has the greater number
+        if doubts[k] >= 0:
+            held[doubts[k]] += held[k]
+    total, out = sum(own), []
+    for k, up in enumerate(doubts):
+        out.append((up >= 0 and out[up]) or 2 * held[k] < total or not held[k])
+    return [b for b in blocks if b.doubt < 0 or not out[b.doubt]]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -174,7 +294,7 @@ def _smooth(values: list[float]) -> list[float]:
 
 def content_scores(blocks: list[Block]) -> list[float]:
     """For each block the fused ratio of its path: own text a block, times punctuation a block, both smoothed."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         total = sums.setdefault(b.path, [0.0, 0.0, 0.0])
         total[0] += len(b.text) - b.linked
@@ -192,7 +312,7 @@ def main_text(page: str, threshold: float = 0.5) -> str:
         return ""
     scores = content_scores(blocks)
     mean = sum(scores) / len(scores)
-    paths: dict[tuple[str, ...], list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for b, s in zip(blocks, scores, strict=True):
         paths.setdefault(b.path, []).append(s)
     content = {p for p, each in paths.items() if sum(each) >= threshold * mean * len(each)}
@@ -202,7 +322,7 @@ def main_text(page: str, threshold: float = 0.5) -> str:
         good = [g and b.region > 0 for b, g in zip(blocks, good, strict=True)]
     follows, region = False, 0
     for k in range(len(blocks) - 1, -1, -1):
-        if blocks[k].path[-1:] and blocks[k].path[-1] in HEADINGS:
+        if blocks[k].tag in HEADINGS:
             good[k] = good[k] or (follows and blocks[k].region == region)
         else:
             follows, region = good[k], blocks[k].region
@@ -210,7 +330,7 @@ def main_text(page: str, threshold: float = 0.5) -> str:
 
 
 def _only_links(block: Block) -> bool:
-    return block.linked >= len(block.text) * 0.9 and block.path[-1] not in HEADINGS and block.path[-1] != "p"
+    return block.linked >= len(block.text) * 0.9 and block.tag not in HEADINGS and block.tag != "p"
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,13 +3,16 @@
 import hashlib
 import math
 import random
+import re
+import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from exprloom.llm import cws, html, mixing, quality, tokens, toxicity
+from exprloom.llm import common, cws, html, mixing, quality, tokens, toxicity
 from tests.llm.conftest import ODD
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -101,6 +104,42 @@ def test_fingerprints(spark, frame, monkeypatch):
     assert cws.report(frame(ODD).where("doc_id > 99")).count() == 0
 
 
+def generalised_jaccard(a, b):
+    x, y = Counter(a.lower().split()), Counter(b.lower().split())
+    return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+
+@pytest.mark.parametrize("own", [500, 5000, 15000])
+def test_collision_rate_is_generalised_jaccard(frame, own):
+    """Texts of ``own`` distinct words, a fifth of them shared and some of those heavier on one side."""
+    rng, rows = random.Random(own), []
+    for k in range(16 if own > 5000 else 48):
+        shared = [f"s{k}x{j}" for j in range(own // 5)]
+        left = shared + [f"l{k}x{j}" for j in range(own - own // 5)] + [w for w in shared if rng.random() < 0.3] * 2
+        right = shared + [f"r{k}x{j}" for j in range(own - own // 5)] + [w for w in shared if rng.random() < 0.3]
+        rows += [(2 * k, " ".join(left)), (2 * k + 1, " ".join(right))]
+    got = {r["doc_id"]: r["signature"] for r in cws.fingerprints(frame(rows), samples=128).collect()}
+    apart = [sum(x == y for x, y in zip(got[2 * k], got[2 * k + 1])) / 128 - generalised_jaccard(rows[2 * k][1], rows[2 * k + 1][1]) for k in range(len(rows) // 2)]
+    assert abs(sum(apart) / len(apart)) < 0.02
+
+
+def test_null_ids_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(cws, "BUCKET", 20)
+    rows = [(None if i % 3 else i, f"text {i % 250} of many words") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = docs.select("doc_id", "text", cws.place(F.col("doc_id"), F.col("text")).alias("place"))
+    sizes = Counter(r["bucket"] for r in cws._dealt(placed).where("ghost = 0").collect())
+    assert len(sizes) > 10 and max(sizes.values()) < 200
+    got = cws.report(docs).collect()
+    assert len(got) == 600
+    order = sorted(placed.collect(), key=lambda r: r["place"])
+    want = Counter()
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(r["text"]) // 2
+        want[r["doc_id"], hashlib.sha256((r["text"][: len(r["text"]) - half] + after["text"][:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 # Tokens.
 
 
@@ -118,6 +157,32 @@ def test_tokens_equal_the_library(frame):
     assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == {i: (len((t or "").encode()), w, w > 50) for i, (t, w) in enumerate(zip(texts, want, strict=True))}
 
 
+def test_texts_without_spaces_are_counted_in_bounded_time():
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(VOCABULARY), random.Random(13)
+    texts = ["".join(rng.choice("中文字符天地玄黄") for _ in range(30_000)), "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(60_000)), "x" * 20_000, "ab-cd." * 9000, "é1" * 9000, "'s't" * 9000, "<|endoftext|>" * 3000, "9" * 20_000]
+    small = tokens.Counter(VOCABULARY, 1000, 16)
+    read = [0]
+    plain = small.starts
+    small.starts = lambda text, first, last: read.__setitem__(0, read[0] + last - first) or plain(text, first, last)
+    for text in texts:
+        read[0] = 0
+        assert small.count(text.encode()) == len(lib.encode(text, add_special_tokens=False).ids)
+        assert read[0] < 16 * len(text)
+
+
+def test_memo_is_bounded_by_bytes():
+    made, memo = [], common.Memo(lambda w: made.append(1) or len(w), most=1 << 20)
+    for k in range(100_000):
+        assert memo[f"{k:02000}"] == 2000
+    assert not memo and len(made) == 100_000
+    for k in range(100_000):
+        assert memo[f"w{k}"] == len(f"w{k}")
+    assert memo.held <= (1 << 20) + 300 and sum(map(len, memo)) < 1 << 20
+    assert memo["w99999"] == 6 and len(made) == 200_000
+
+
 # Pages.
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1><p>Slogan, here.</p></header>
@@ -159,6 +224,115 @@ def test_pages_table(spark):
     assert html.extract(pages.where("page_id > 9")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post no-comments", "page with-banner", "tags-list post", "theme-print content", "content-alert"])
+@pytest.mark.parametrize("element", ["article", "section"])
+def test_wrappers_with_furniture_words_keep_their_text(name, element):
+    body = "".join(LONG.format(k) for k in range(5))
+    comments = f"<div class='user-comments'><article class='comment'><p>{'Great, post. ' * 90}</p></article></div>"
+    page = f"<body><div class='{name}'><{element}><h1>Head</h1>{body}</{element}><div class='sidebar'>Side, bar.</div></div>{comments if element == 'article' else ''}<div class='site-footer'>End, here.</div>"
+    lines = html.main_text(page).split("\n")
+    assert len(lines) == 6 and lines[0] == "Head"
+
+
+def test_names_of_headings_and_header_of_an_article_are_no_furniture():
+    page = f"<article><header><h1 id='feedback'>Head</h1></header>{''.join(LONG.format(k) for k in range(4))}</article>"
+    assert html.main_text(PAGE % page).split("\n")[0] == "Head"
+
+
+def test_pages_without_text_of_note_are_empty():
+    for page in ("", " ", "<p></p>", "<nav>a, b</nav>", "<ul><li><a href=1>Home</a><li><a href=2>News</a></ul>", "<script>var a = 'text, text.'</script>", "<!-- never closed <p>x"):
+        assert html.main_text(page) == ""
+
+
+@pytest.mark.parametrize("piece", ["<div>x", '<a "', "<a ='", "<p>x", "<span class='ad'>x", "<ul><li>x", "< ", "<table><tr><td>x", "<b-x>x</c-y>", "<p x ", "<div class='a-ad'>x"])
+def test_pages_take_linear_time_and_memory(piece):
+    import time
+    import tracemalloc
+
+    def cost(size):
+        page = piece * (size // len(piece))
+        at = time.process_time()
+        html.main_text(page)
+        return time.process_time() - at
+
+    assert min(cost(800_000) for _ in range(2)) < 12 * max(0.02, min(cost(100_000) for _ in range(2)))
+    tracemalloc.start()
+    html.main_text(piece * (200_000 // len(piece)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+
+
+class Paths(HTMLParser):
+    """Blocks of a well-formed page with their whole paths, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.blocks, self.links, self.fresh = [], [], 0, True
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.links += 1
+        else:
+            self.path.append(tag)
+            self.fresh = True
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.links -= 1
+        else:
+            self.path.pop()
+            self.fresh = True
+
+    def handle_data(self, data):
+        if self.fresh:
+            self.blocks.append([tuple(self.path), "", 0])
+            self.fresh = False
+        self.blocks[-1][1] += data
+        if self.links:
+            self.blocks[-1][2] += len(data)
+
+
+def scored_by_definition(page):
+    parser = Paths()
+    parser.feed(page)
+    blocks = parser.blocks
+    marks = lambda t: sum(c in ".,;:!?" for c in t)
+    ratio = {}
+    for path in {b[0] for b in blocks}:
+        mine = [b for b in blocks if b[0] == path]
+        ratio[path] = (sum(len(t) - k for _, t, k in mine) / len(mine), sum(marks(t) for _, t, k in mine if k < len(t)) / len(mine))
+    at = lambda k: ratio[blocks[min(max(k, 0), len(blocks) - 1)][0]]
+    smooth = [[(at(k - 1)[j] + 2 * at(k)[j] + at(k + 1)[j]) / 4 for j in (0, 1)] for k in range(len(blocks))]
+    scores = [t * (1 + m) for t, m in smooth]
+    mean = sum(scores) / len(scores)
+    content = {p for p in ratio if (own := [s for b, s in zip(blocks, scores) if b[0] == p]) and sum(own) / len(own) >= 0.5 * mean}
+    return "\n".join(t for p, t, k in blocks if p in content and k < len(t) and (k < 0.9 * len(t) or p[-1] == "p"))
+
+
+def test_path_scores_equal_brute_force():
+    rng = random.Random(31)
+
+    def element(depth):
+        tag = rng.choice(["div", "section", "p", "blockquote"] if depth < 4 else ["p"])
+        if tag == "p" or depth == 4:
+            words = " ".join(rng.choice(["word", "and", "end.", "so,", "text"]) for _ in range(rng.choice([2, 4, 30, 60])))
+            return f"<p><a>{words}</a></p>" if rng.random() < 0.25 else f"<p>{words}</p>"
+        return f"<{tag}>{''.join(element(depth + 1) for _ in range(rng.randrange(1, 5)))}</{tag}>"
+
+    for _ in range(80):
+        page = f"<html><body>{''.join(element(0) for _ in range(rng.randrange(1, 6)))}</body></html>"
+        assert html.main_text(page) == scored_by_definition(page)
+
+
+def test_long_pages_and_clashing_columns(spark):
+    long = f"<article>{''.join(LONG.format(k) for k in range(20_000))}</article>"
+    pages = spark.createDataFrame([(1, "u", long, 5, "x"), (1, "u", long, 5, "x"), (None, None, None, None, None)], "page_id long, url string, html string, n_chars long, text string")
+    rows = html.extract(pages).collect()
+    assert len(rows) == 3 and rows[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert sorted(r["text"].count("\n") for r in rows) == [0, 19_999, 19_999]
+
+
 # Quality.
 
 
@@ -195,9 +369,51 @@ def test_kth_largest_is_exact(spark):
     values = [rng.gauss(0, 300) for _ in range(500)] + [1.5] * 20
     df = spark.createDataFrame([(v,) for v in values], "x double")
     ordered = sorted(values, reverse=True)
+    exact = lambda x: round(x * (1 << quality.PLACES)) + (1 << (quality.WIDTH - 1))
     for k in (1, 7, 250, 300, 520):
-        assert abs(quality.kth_largest(df, "x", k) - ordered[k - 1]) < 1e-6
+        assert abs(quality.kth_largest(df, "x", k) - exact(ordered[k - 1])) <= 1
     assert quality.kth_largest(df, "x", 521) is None
+    assert quality.kth_largest(spark.createDataFrame([(-3e11,), (2e11,)], "x double"), "x", 2) == exact(-3e11)
+
+
+def features_by_definition(text):
+    """Buckets of tokens, capitals and pairs, one at a time."""
+    ids = []
+    for word in text.split():
+        for token in re.findall(r"[^\W_]+|[^\w\s]+|_+", word):
+            ids.append(zlib.crc32(token.lower().encode()))
+            ids += [1] if len(token) > 1 and token.isupper() else []
+    pairs = []
+    for a, b in zip(ids, ids[1:]):
+        x = (a * 0x9E3779B1 + b * 0x85EBCA77) % 2**64
+        pairs.append(2 if a == b else x ^ (x >> 17))
+    return [x % quality.BUCKETS for x in ids + pairs]
+
+
+def test_resampling_equals_brute_force(spark, frame):
+    rows, labels = corpus(150, seed=12)
+    rows += [(7, "another text of id seven"), (None, "no id"), (None, "no id, other text"), (None, "no id"), (900, None), (901, ""), (902, "Long TEXT, long text. " * 3000)]
+    docs, table = frame(rows, gumbel=1, log_weight=2), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    good_ids = {i for i, q, _ in labels if q}
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(found := features_by_definition(t or ""))
+        if i in good_ids:
+            good.update(found)
+    size = quality.BUCKETS * quality.SMOOTH
+    ratio = {b: math.log((good[b] + 1) / (sum(good.values()) + size)) - math.log((raw[b] + 1) / (sum(raw.values()) + size)) for b in raw}
+    draws = docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(1)).alias("draw")).collect()
+    want = []
+    for r in draws:
+        weight = sum(ratio[b] for b in features_by_definition(r["text"] or ""))
+        noise = (((r["draw"] % 2**64) >> 12) + 0.5) / 2**52
+        want.append((weight - math.log(-math.log(noise)), r["doc_id"], weight))
+    want.sort(key=lambda x: -x[0])
+    k = math.ceil(len(rows) * len(good_ids) / len(labels))
+    want = [w for w in want if w[0] >= want[k - 1][0] - 1e-9]
+    got = sorted(((r["gumbel"], r["doc_id"], r["log_weight"]) for r in quality.resample(docs, table).collect()), key=lambda x: -x[0])
+    assert [g[1] for g in got] == [w[1] for w in want]
+    assert all(math.isclose(g[j], w[j], rel_tol=1e-9, abs_tol=1e-6) for g, w in zip(got, want) for j in (0, 2))
 
 
 # Toxicity.
@@ -238,12 +454,35 @@ def test_toxicity_on_held_out_rows(spark, frame):
 
 
 def test_held_out_rule(spark):
-    import zlib
-
     rows = spark.range(200).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 3 == 1) for r in rows)
 
 
+def test_clean_words_with_a_toxic_prefix_do_not_inherit_it(spark, frame):
+    """A word of many clean documents scores nothing although its prefix is that of toxic words."""
+    rows, labels = corpus(900, seed=7)
+    rows = [(i, t + " vexillology" if not toxic and i % 9 == 0 else t) for (i, t), (_, _, toxic) in zip(rows, labels)]
+    model = toxicity.train(frame(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any("vexillology".startswith(p) for p in model.prefixes)
+    assert model.score("vexillology") == 0.0 and model.score("vexing999") > 0 and model.score("vexinggg") > 0
+
+
+def test_scores_on_odd_and_long_rows(spark, frame):
+    rows, labels = corpus(300, seed=9)
+    table = spark.createDataFrame([*labels, (3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    toxic = next(t for (_, t), (_, _, y) in zip(rows, labels) if y)
+    docs = frame([*rows, *ODD, (3, "a second text of id three"), (800, "calm words " * 100_000), (801, "calm words " * 50_000 + toxic + " calm words" * 50_000)], score=1)
+    model = toxicity.train(docs, table)
+    out = toxicity.scores(docs, model)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    got = {r["doc_id"]: r["score"] for r in out.where("doc_id >= 800").collect()}
+    assert got[800] < 0.3 and got[801] > got[800]
+    scorer = toxicity.Scorer(model)
+    bare = [model.score(w) for w in toxicity.words_of(toxic)]
+    found = [(round(s, 6), a, b) for s, a, b in scorer(toxic)[0]]
+    assert found == best_segments([x if x else -toxicity.DRIFT for x in bare])
+
+
 # The pipeline.
 
 
