@@ -3,8 +3,10 @@
 Texts of ordinary length are counted word by word: the tokenizer drops white space and no token spans
 it, so a text has as many tokens as its words have, and each distinct word is encoded once per task.
 Huge texts are encoded in overlapping chunks with offsets.  Two neighbours are spliced at a common
-boundary that is proven stable: a character after white space inside the overlap, where both encodings
-begin a token.  If an overlap holds none, it is widened.
+boundary that is proven stable: a place inside the overlap where both encodings begin a token and the
+tokenizer's own splitting always cuts, whatever stands around.  If an overlap holds none, it is
+widened, and at last the chunk is doubled, so that even a text of one single word is encoded a bounded
+number of times.
 """
 
 from __future__ import annotations
@@ -15,15 +17,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bytes_of
+from .common import Memo, bytes_of
 
 #: Characters of a chunk and of an overlap; texts up to one chunk are not cut.
 CHUNK, OVERLAP = 1 << 16, 1 << 8
-#: Words remembered by a task before it starts afresh.
-MEMO = 1_500_000
 
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
-_BLANK = " \t\n\r\x0b\x0c"
+#: Where splitting always cuts: behind white space, on both sides of a digit, and between letters and marks, of which the
+#: apostrophe is left out, since it may begin a piece with letters.
+_CUT = re.compile(r"(?<=[ \t\n\r\x0b\x0c])(?=\S)|(?<=[0-9])|(?=[0-9])|(?<=[A-Za-z])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z])")
 
 
 class Counter:
@@ -36,8 +38,8 @@ class Counter:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.model, self.chunk, self.overlap = self.lib.model, chunk, overlap
-        self.memo: dict[bytes, int] = {}
-        self.pieces: dict[str, int] = {}
+        self.memo: Memo = Memo(self.word)
+        self.pieces: Memo = Memo(lambda piece: len(self.model.tokenize(piece)), most=32 << 20)
         #: Within printable ASCII the tokenizer's own splitting pattern reduces to this one.
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
 
@@ -46,57 +48,44 @@ class Counter:
         hold a special token, through the whole library."""
         if not _PLAIN.fullmatch(word) or b"<|" in word:
             return len(self.lib.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        total = 0
-        for piece in self.split(word.decode().lower()):
-            got = self.pieces.get(piece)
-            if got is None:
-                got = self.pieces[piece] = len(self.model.tokenize(piece))
-            total += got
-        return total
+        return sum([self.pieces[piece] for piece in self.split(word.decode().lower())])
 
     def count(self, data: bytes) -> int:
         if len(data) > self.chunk:
             text = data.decode("utf-8", "replace")
             if len(text) > self.chunk:
                 return self.count_huge(text)
-        words, memo = data.split(), self.memo
-        try:
-            return sum([memo[w] for w in words])
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-                self.pieces.clear()
-            for w in {w for w in words if w not in memo}:
-                memo[w] = self.word(w)
-            return sum([memo[w] for w in words])
+        memo = self.memo
+        return sum([memo[w] for w in data.split()])
 
     def starts(self, text: str, first: int, last: int) -> list[int]:
         """Where tokens of ``text[first:last]`` begin, as positions in ``text``."""
         return [first + a for a, _ in self.lib.encode(text[first:last], add_special_tokens=False).offsets]
 
+    def splice(self, text: str, mine: list[int], theirs: list[int], low: int, high: int) -> int | None:
+        """The last stable boundary between ``low`` and ``high`` (both exclusive) where both encodings begin a token."""
+        shared = set(mine).intersection(theirs)
+        return max((p for p in shared if low < p < high and _CUT.match(text, p)), default=None)
+
     def count_huge(self, text: str) -> int:
         """Overlap resynchronisation: the tokens of each chunk between the splices at its two ends."""
         total, low, first, size = 0, 0, 0, len(text)
         last = min(size, self.chunk)
         mine = self.starts(text, first, last)
         while last < size:
-            overlap = self.overlap
-            while True:
+            begin, overlap, at = first, self.overlap, None
+            while at is None:
                 begin = max(first, last - overlap)
-                end = min(size, last - overlap + self.chunk) if overlap < self.chunk else min(size, last + self.chunk)
+                end = min(size, last + self.chunk)
                 theirs = self.starts(text, begin, end)
-                shared = set(mine) & set(theirs)
-                at = next((p for p in range(last - 1, max(begin, low), -1) if p in shared and text[p - 1] in _BLANK), None)
-                if at is not None:
+                at = self.splice(text, mine, theirs, max(begin, low), last)
+                if at is None and begin == first:
                     break
-                if begin == first:  # no white space in the whole chunk: make it longer instead
-                    last = min(size, last + self.chunk)
-                    mine = self.starts(text, first, last)
-                    if last == size:
-                        break
-                overlap *= 2
-            if at is None:
-                break
+                overlap *= 4
+            if at is None:  # no boundary in the whole chunk: make it longer instead
+                last = min(size, 2 * last - first)
+                mine = self.starts(text, first, last)
+                continue
             total += sum(low <= p < at for p in mine)
             low, first, last, mine = at, begin, end, theirs
         return total + sum(p >= low for p in mine)
