@@ -1,10 +1,10 @@
 """Quality selection by importance resampling of hashed n-grams.
 
 Two generative models over hashed word unigrams and bigrams are fitted: the target model on labelled
-good text, the raw model on all documents.  A document's importance weight is the ratio of the two
-likelihoods, per feature, over ``LENGTH`` features.  Sampling without replacement in proportion
-to the weights is a top-k of log weight plus Gumbel noise, and the k-th value is found exactly by
-counting leading bits, never by gathering rows.
+good text, the raw model on all documents.  A document's importance weight is the ratio of its
+likelihoods under the two, the sum over its features of the log ratios of their buckets.  Sampling
+without replacement in proportion to the weights is a top-k of log weight plus Gumbel noise, and the
+k-th value is found exactly by counting leading bits, never by gathering rows.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts_of
+from .common import Memo, materialise, texts_of
 
-#: Hash buckets; labelled rows the target model is fitted on at most; nominal features of a document; pseudo-count.
-BUCKETS, SAMPLE, LENGTH, SMOOTH = 10_000, 20_000, 200.0, 1.0
+#: Hash buckets; labelled rows the target model is fitted on at most; pseudo-count.
+BUCKETS, SAMPLE, SMOOTH = 10_000, 20_000, 1.0
+#: Binary places that the k-th value is found to, and bits of its integer.
+PLACES, WIDTH = 20, 62
 
 _TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
@@ -31,7 +33,7 @@ class Features:
     """Bucket numbers of a text's tokens and of its token pairs; words in capitals and repeats carry a mark."""
 
     def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: Memo = Memo(self.word)
 
     def word(self, word: str) -> tuple[int, ...]:
         out = []
@@ -42,12 +44,8 @@ class Features:
         return tuple(out)
 
     def __call__(self, text: str) -> np.ndarray:
-        words, memo = text.split(), self.memo
-        for w in {w for w in words if w not in memo}:
-            memo[w] = self.word(w)
-        ids = np.array([x for w in words for x in memo[w]], np.uint64)
-        if len(memo) > 1_000_000:
-            memo.clear()
+        memo = self.memo
+        ids = np.array([x for w in text.split() for x in memo[w]], np.uint64)
         pairs = ids[:-1] * np.uint64(0x9E3779B1) + ids[1:] * np.uint64(0x85EBCA77)
         pairs = np.where(ids[:-1] == ids[1:], np.uint64(2), pairs ^ (pairs >> np.uint64(17)))
         return (np.concatenate([ids, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
@@ -56,12 +54,27 @@ class Features:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features, raw, good = Features(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        size = 0
         for text, quality in zip(texts_of(batch), batch.column("quality").to_pylist(), strict=True):
-            counts = np.bincount(features(text), minlength=BUCKETS)
+            held[quality == 1].append(found := features(text))
+            size += len(found)
+            if size > 1 << 20:
+                _add(held, raw, good)
+                size = 0
+        _add(held, raw, good)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(good)], ["bucket", "raw", "good"])
+
+
+def _add(held: dict[bool, list[np.ndarray]], raw: np.ndarray, good: np.ndarray) -> None:
+    """Add the features of good and other texts to the counts."""
+    for is_good, parts in held.items():
+        if parts:
+            counts = np.bincount(np.concatenate(parts), minlength=BUCKETS)
             raw += counts
-            if quality == 1:
+            if is_good:
                 good += counts
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(good)], ["bucket", "raw", "good"])
+            parts.clear()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
@@ -83,37 +96,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 
 def weights(docs: DataFrame, ratio: np.ndarray, seed: int = 1) -> DataFrame:
-    """``doc_id``, ``log_weight``, ``gumbel`` (log weight plus Gumbel noise) for each row.  The noise is a function of id and
+    """``doc_id``, ``log_weight``, ``gumbel`` (log weight plus Gumbel noise) for each row.  The noise is a function of id, text and
     seed, so that reruns agree; a text without features has log weight 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            ids = batch.column("doc_id")
-            means = [float(ratio[f].mean()) * LENGTH if len(f := features(text)) else 0.0 for text in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(means, pa.float64())], ["doc_id", "log_weight"])
-
-    noise = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double").withColumn("gumbel", F.col("log_weight") - F.log(-F.log(noise)))
-
-
-def kth_largest(rows: DataFrame, column: str, k: int, bits: int = 16) -> float | None:
-    """The ``k``-th largest value of a double column, exact: counts by leading bits of its order-preserving integer, then
-    by the next bits within the bin that holds it.  At most ``2**bits`` counts reach the driver at a time."""
-    # Scaled to a fixed-point integer, which keeps the order of doubles and 20 binary digits behind the point.
-    key = F.round(F.col(column) * float(1 << 20)).cast("long")
-    base = 1 << 47
-    rows, fixed, rest = rows.select((key + F.lit(base)).alias("key")), 0, k
-    for shift in range(48 - bits, -1, -bits):
-        bins = rows.where(F.shiftright("key", shift + bits) == (fixed >> (shift + bits))).groupBy(F.shiftright("key", shift).alias("bin")).count().collect()
+            sums = [float(ratio[features(text)].sum()) for text in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("draw"), pa.array(sums, pa.float64())], ["doc_id", "draw", "log_weight"])
+
+    rows = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(seed)).alias("draw"), "text")
+    noise = (F.shiftrightunsigned("draw", 12).cast("double") + 0.5) / float(1 << 52)
+    return rows.mapInArrow(run, "doc_id long, draw long, log_weight double").select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(noise))).alias("gumbel"))
+
+
+def _ordered(column: Column) -> Column:
+    """A double as an integer of ``WIDTH`` bits in the same order, to ``PLACES`` binary places."""
+    return F.round(column * float(1 << PLACES)).cast("long") + F.lit(1 << (WIDTH - 1))
+
+
+def kth_largest(rows: DataFrame, column: str, k: int, bits: int = 16) -> int | None:
+    """The ``k``-th largest value of a double column as :func:`_ordered` gives it, exact: counts by leading bits, then by the
+    next bits within the bin that holds it.  At most ``2**bits`` counts reach the driver at a time."""
+    rows, fixed, rest, left = rows.select(_ordered(F.col(column)).alias("key")), 0, k, WIDTH
+    while left:
+        step = min(bits, left)
+        bins = rows.where(F.shiftright("key", left) == (fixed >> left)).groupBy(F.shiftright("key", left - step).alias("bin")).count().collect()
         for bin_, n in sorted(((r["bin"], r["count"]) for r in bins), reverse=True):
             if rest <= n:
-                fixed = bin_ << shift
+                fixed = bin_ << (left - step)
                 break
             rest -= n
         else:
             return None
-    return (fixed - base) / float(1 << 20)
+        left -= step
+    return fixed
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, sample: int = SAMPLE) -> DataFrame:
@@ -121,7 +138,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
 
     ``share`` of all rows is drawn without replacement by Gumbel top-k; unset, it is the share of good rows among
     ``labels`` (doc_id, quality).  Rows that tie with the last drawn to six decimals are drawn too, so repeated rows stay
-    together.  Null and empty texts have weight 1.  An empty table gives an empty result.
+    together; rows with the same id, or none, but other texts draw noise of their own.  Null and empty texts have weight 1.
+    Labels of one id that differ count as good if one is.  Without good labels all rows are drawn.  An empty table gives an
+    empty result.
     """
     ratio, good = fit(docs, labels, sample)
     rows = materialise(weights(docs, ratio, seed), "importance-weights")
@@ -129,4 +148,4 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, see
     bar = kth_largest(rows, "gumbel", k) if k else None
     if bar is None:
         return rows.where("false").withColumn("keep", F.lit(True))
-    return rows.where(F.round(F.col("gumbel") * float(1 << 20)) >= bar * float(1 << 20)).withColumn("keep", F.lit(True))
+    return rows.where(_ordered(F.col("gumbel")) >= bar).withColumn("keep", F.lit(True))
