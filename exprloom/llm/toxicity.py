@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_batch, materialise, texts_of
+from .common import Memo, by_batch, materialise, texts_of
 
 #: Labelled rows that the classifier is fitted on at most: those whose hashed id is smallest.
 SAMPLE = 20_000
@@ -102,23 +102,15 @@ class Model:
 
 
 class Scorer:
-    """Scores texts one after another; remembers which words carry no score."""
+    """Scores texts one after another; remembers the scores of words."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.hot = model, set(), {}
+        self.model, self.memo = model, Memo(model.score)
 
     def __call__(self, text: str) -> tuple[list[tuple[float, int, int]], int]:
-        words = words_of(text)
-        distinct = set(words)
-        for word in distinct - self.known:
-            if score := self.model.score(word):
-                self.hot[word] = score
-        self.known |= distinct
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        if not any(w in self.hot for w in distinct):
-            return [], len(words)
-        return segments([(i, self.hot[w]) for i, w in enumerate(words) if w in self.hot]), len(words)
+        words, memo = words_of(text), self.memo
+        hot = {w: score for w in set(words) if (score := memo[w])}
+        return segments([(i, hot[w]) for i, w in enumerate(words) if w in hot]) if hot else [], len(words)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,8 +135,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array([_near_key(x) for x in texts_of(batch)], pa.int64())], [*batch.schema.names, "near"])
 
     rows = rows.mapInArrow(by_batch(key), "doc_id long, text string, toxic int, near long")
-    one = rows.groupBy("near", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
-    return materialise(one.select("text", "toxic"), "toxicity-training")
+    one = rows.groupBy("near", "toxic").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return materialise(one.select("least.text", "toxic"), "toxicity-training")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +155,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).  What reaches the driver is the terms that
-    occur in several toxic training documents and a few numbers per training document, both bounded by ``sample``.
-    With no labelled row, or only one class, the model scores every text alike."""
+    occur in several toxic training documents, the clean words that begin like them, and a few numbers per training
+    document, all bounded by ``sample``.
+
+    An id with labels of both kinds counts as toxic; a repeated id brings each of its texts; null ids and null labels are
+    left out, null and empty texts count as clean or toxic without words.  With no labelled row, or only one class, the model
+    scores every text alike."""
     rows = training_rows(docs, labels, sample)
     counts = rows.mapInArrow(_count, "term string, bad long, good long, uses long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("bad", "good", "uses")))
+    counts = materialise(counts, "toxicity-terms")
     kept = {r["term"]: (r["bad"], r["good"], r["uses"]) for r in counts.where("bad > 1 or term = 'd'").collect()}
     bad, good, uses = kept.pop("d", (0, 0, 0))
     model = Model()
@@ -200,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 model.prefixes[name] = odds
         elif odds := smooth(term, chain(name))[1]:
             model.words[name] = odds
-    model.seen = frozenset(t[1:] for t in kept if t[0] == "w")
+    # A word that clean documents hold is no unseen inflection, whatever its prefix has shown.
+    begins = [F.substring("term", 2, n).isin([p for p in model.prefixes if len(p) == n]) & (F.length("term") > n + 1) for n in PREFIXES]
+    clean = counts.where((F.substring("term", 1, 1) == "w") & (F.col("bad") <= 1) & (F.col("good") > 1) & (begins[0] | begins[1])).select("term")
+    model.seen = frozenset(t[1:] for t in kept if t[0] == "w") | {r[0][1:] for r in clean.collect()}
     # The background law: the rate at which scores of clean words have mean exponential one.
     law = [(s, max(0.5, kept[f"w{w}"][2]) / max(1, uses)) for w, s in model.words.items()]
     share = sum(p for _, p in law) or 1e-9
@@ -241,8 +241,10 @@ def _logistic(points: list[tuple[float, int]], ridge: float = 0.05) -> tuple[flo
 
 
 def scores(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
-    """``docs`` with a column ``to``: the probability that the text is toxic.  Null and empty texts score what a text
-    without any toxic passage scores.  All other columns pass through untouched."""
+    """``docs`` with a column ``to``, instead of any of that name: the probability that the text is toxic.  Null and empty
+    texts score what a text without any toxic passage scores.  All other columns pass through untouched; repeated rows and
+    null ids give a row each, an empty table an empty result."""
+    docs = docs.drop(to)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
