@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Hex digits of a document's hash that name its cell; sums over cells make prefix sums distributed.
 CELL_DIGITS = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,14 +81,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     it), range-sorted by first position; what is not taken comes last.  The last document of a source's budget
     is cut where the budget ends, so a source's taken words miss its target by less than one word.
 
-    Null text has size 0.  Null is a source of its own, the last.  Documents are ordered within their source
+    Texts are counted whole, however long.  Null text has size 0.  Null is a source of its own, the last.  Documents are ordered within their source
     by the MD5 of their id, then id, then size; repeated rows are separate documents that give the same rows in
     every run.  An empty table gives an empty result; where all sizes are 0, targets are 0.
     """
     weight_classes = schedules or SCHEDULES
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select("doc_id", "source", size.alias("size"), order.alias("order"))
+    # Texts are read once; what follows needs only their sizes.
+    rows = materialise(docs.select("doc_id", "source", size.alias("size"), order.alias("order")), "document-sizes")
     rows = rows.withColumn("cell", F.substring("order", 1, CELL_DIGITS))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     before = F.sum("cell_size").over(Window.partitionBy("source").orderBy("cell")) - F.col("cell_size")
@@ -112,6 +115,21 @@ def schedule_rows(docs: DataFrame, **options) -> DataFrame:
     return mix(docs, **options).select("doc_id", "source", F.posexplode("positions").alias("epoch", "position")).orderBy("position", "doc_id", "epoch")
 
 
+def progress_sql(demand: str, weight: str, schedules: dict) -> str:
+    """:func:`progress` in SQL, operation by operation."""
+    cases = []
+    for name, knots in schedules.items():
+        whole, before, pieces = sum(_area(*a, *b) for a, b in zip(knots, knots[1:], strict=False)), 0.0, []
+        asked = f"({demand} * {whole!r}::DOUBLE)"
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+            rest, slope = f"({asked} - {before!r}::DOUBLE)", (w1 - w0) / (t1 - t0)
+            root = f"sqrt(greatest({w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0.0::DOUBLE))"
+            before += _area(t0, w0, t1, w1)
+            pieces.append(f"WHEN {asked} < {before!r}::DOUBLE THEN {t0!r}::DOUBLE + 2.0::DOUBLE * {rest} / ({w0!r}::DOUBLE + {root})")
+        cases.append(f"WHEN {weight} = {name} THEN CASE {' '.join(pieces)} ELSE 1.0::DOUBLE END")
+    return f"CASE {' '.join(cases)} END"
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
                   md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
@@ -121,11 +139,14 @@ f AS (SELECT *, 2.0::DOUBLE * source_size AS cap FROM s),
 g AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
      / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM f),
 h AS (SELECT *, (SELECT max(level) FROM g WHERE level * weight < cap) AS lev FROM g),
-t AS (SELECT source, source_size, least(cap, coalesce(lev * weight, cap)) AS target FROM h),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
+t AS (SELECT source, source_size, weight, least(cap, coalesce(lev * weight, cap)) AS target FROM h),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.weight, t.target,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS start
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-       (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken
+       (greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)))::BIGINT AS taken,
+       CASE WHEN least(size, floor(target) - start) > 0 THEN FIRST_PASS END AS first_position,
+       CASE WHEN least(size, floor(target) - start - source_size) > 0 THEN SECOND_PASS END AS second_position
 FROM p
 """
+SQL = SQL.replace("FIRST_PASS", progress_sql("(start::DOUBLE / target)", "weight", SCHEDULES)).replace("SECOND_PASS", progress_sql("((start + source_size)::DOUBLE / target)", "weight", SCHEDULES))

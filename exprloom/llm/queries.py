@@ -16,7 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    passes = [F.get("positions", F.lit(k)).alias(name) for k, name in enumerate(("first_position", "second_position"))]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", *passes)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
