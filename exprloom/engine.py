@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import threading
 import uuid
 from collections.abc import Callable, Mapping
@@ -225,6 +226,10 @@ class Engine:
         rows = self.collect(df.select(value.alias("value")))
         return plain(rows[0]["value"])
 
+    async def evaluate_async(self, source: str, context: Mapping[str, Any] | None = None) -> Any:
+        """As :meth:`evaluate`, without blocking the event loop."""
+        return await asyncio.to_thread(self.evaluate, source, context)
+
     def collect(self, df: DataFrame) -> list[T.Row]:
         """The rows of ``df``; an action longer than the timeout is cancelled and raises TIMEOUT."""
         if not self.options.timeout:

@@ -6,17 +6,27 @@ Spark reports for the value, so that dynamic values follow the same rules as col
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OBJECT_TEXT = "[object Object]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once and stands in the plan once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind(v: Column) -> Column:
     """string, number, boolean, array, object, or null, which SQL's null is too."""
-    name = F.schema_of_variant(v)
-    named = F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
-    return F.when(v.isNull(), F.lit("null")).otherwise(named.when(F.startswith(name, F.lit("ARRAY")), "array").when(F.startswith(name, F.lit("OBJECT")), "object").otherwise("number"))
+
+    def named(name: Column) -> Column:
+        plain = F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
+        return plain.when(F.startswith(name, F.lit("ARRAY")), "array").when(F.startswith(name, F.lit("OBJECT")), "object").when(name.isNotNull(), "number").otherwise("null")
+
+    return let(F.schema_of_variant(v), named)
 
 
 def is_kind(v: Column, name: str) -> Column:
@@ -25,33 +35,35 @@ def is_kind(v: Column, name: str) -> Column:
 
 def missing(v: Column) -> Column:
     """Null of either sort."""
-    return v.isNull() | F.is_variant_null(v)
+    return let(v, lambda v: v.isNull() | F.is_variant_null(v))
 
 
-def as_string(v: Column) -> Column:
-    """The text of a text; null for anything else."""
-    return F.when(is_kind(v, "string"), F.try_variant_get(v, "$", "string"))
+def _as(name: str, type_: str) -> Callable[[Column], Column]:
+    return lambda v: let(v, lambda v: F.when(is_kind(v, name), F.try_variant_get(v, "$", type_)))
 
 
-def as_double(v: Column) -> Column:
-    """The number of a number; null for anything else."""
-    return F.when(is_kind(v, "number"), F.try_variant_get(v, "$", "double"))
+#: The value if it is of that kind, else null.
+as_string, as_double, as_boolean, as_array = _as("string", "string"), _as("number", "double"), _as("boolean", "boolean"), _as("array", "array<variant>")
 
 
-def as_boolean(v: Column) -> Column:
-    return F.when(is_kind(v, "boolean"), F.try_variant_get(v, "$", "boolean"))
+def by_kind(v: Column, cases: dict[str, Callable[[Column], Column]], other: Column | None = None) -> Column:
+    """What the case for the value's kind makes of it; ``other`` where there is none."""
 
+    def pick(pair: Column) -> Column:
+        out = None
+        for name, make in cases.items():
+            test = pair["kind"] == name
+            out = F.when(test, make(pair["value"])) if out is None else out.when(test, make(pair["value"]))
+        return out if other is None else out.otherwise(other)
 
-def as_array(v: Column) -> Column:
-    """The elements of an array; null for anything else."""
-    return F.when(is_kind(v, "array"), F.try_variant_get(v, "$", "array<variant>"))
+    return let(v, lambda v: let(F.struct(v.alias("value"), kind(v).alias("kind")), pick))
 
 
 def identity(v: Column) -> Column:
     """A text that two values share if they are the same value: kind and content.  Numbers go by value; of null there is one."""
-    number = F.try_variant_get(v, "$", "double")
-    content = F.when(is_kind(v, "number"), F.when(number == 0, F.lit(0.0)).otherwise(number).cast("string")).when(missing(v), F.lit("")).otherwise(F.to_json(v))
-    return F.concat(kind(v), F.lit(":"), content)
+    number = lambda v: F.concat(F.lit("number:"), let(F.try_variant_get(v, "$", "double"), lambda x: F.when(x == 0, F.lit("0")).otherwise(x.cast("string"))))
+    other = {name: lambda v, name=name: F.concat(F.lit(f"{name}:"), F.to_json(v)) for name in ("string", "boolean", "array", "object")}
+    return by_kind(v, {"number": number, **other}, F.lit("null"))
 
 
 def equal(a: Column, b: Column) -> Column:
@@ -60,7 +72,7 @@ def equal(a: Column, b: Column) -> Column:
 
 
 def truthy(v: Column) -> Column:
-    number = F.try_variant_get(v, "$", "double")
-    how = kind(v)
-    test = F.when(how == "number", (number != 0) & ~F.isnan(number)).when(how == "string", F.try_variant_get(v, "$", "string") != "").when(how == "boolean", F.try_variant_get(v, "$", "boolean"))
-    return F.coalesce(test.otherwise(how.isin("array", "object")), F.lit(False))
+    number = lambda v: let(F.try_variant_get(v, "$", "double"), lambda x: (x != 0) & ~F.isnan(x))
+    yes = lambda v: F.lit(True)
+    cases = {"number": number, "string": lambda v: F.try_variant_get(v, "$", "string") != "", "boolean": lambda v: F.try_variant_get(v, "$", "boolean"), "array": yes, "object": yes}
+    return F.coalesce(by_kind(v, cases, F.lit(False)), F.lit(False))

@@ -168,11 +168,14 @@ def to_text(v: Val, missing: str | None = None) -> Column:
 
 def variant_text(v: Column, inner: bool = False) -> Column:
     """A dynamic value as text; null for null.  Arrays are joined by commas; those inside arrays print as JSON."""
-    plain = F.when(dynamic.is_kind(v, "string"), F.try_variant_get(v, "$", "string")).when(dynamic.is_kind(v, "number"), number_text(of(dynamic.as_double(v), DOUBLE))).when(dynamic.is_kind(v, "boolean"), v.cast("string")).when(dynamic.is_kind(v, "object"), F.lit(dynamic.OBJECT_TEXT))
-    if inner:
-        return plain.when(dynamic.is_kind(v, "array"), F.to_json(v))
-    items = F.transform(dynamic.as_array(v), lambda x: F.coalesce(variant_text(x, True), F.lit("")))
-    return plain.when(dynamic.is_kind(v, "array"), F.array_join(items, ","))
+    cases = {
+        "string": lambda v: F.try_variant_get(v, "$", "string"),
+        "number": lambda v: dynamic.let(F.try_variant_get(v, "$", "double"), lambda x: number_text(of(x, DOUBLE))),
+        "boolean": lambda v: F.try_variant_get(v, "$", "string"),
+        "object": lambda v: F.lit(dynamic.OBJECT_TEXT),
+        "array": F.to_json if inner else lambda v: F.array_join(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.coalesce(variant_text(x, True), F.lit(""))), ","),
+    }
+    return dynamic.by_kind(v, cases)
 
 
 def join(array: Val, separator: Column) -> Column:
@@ -283,9 +286,13 @@ def to_number(v: Val) -> Column:
         other = F.coalesce(*[F.when(radix == r, F.conv(F.substring(text, F.lit(3), F.length(text)), r, 10).cast("double")) for r in (16, 2, 8)])
         return F.when(text.isNull(), None).when(text == "", F.lit(0.0)).when(~F.rlike(text, F.lit(_NUMERIC)), F.lit(math.nan)).when(radix.isNotNull(), other).otherwise(text.try_cast("double"))
     if kind == "variant":
-        how = dynamic.kind(v.col)
-        text = to_number(of(dynamic.as_string(v.col), STRING))
-        return F.when(how == "number", dynamic.as_double(v.col)).when(how == "string", text).when(how == "boolean", dynamic.as_boolean(v.col).cast("double")).when(how.isin("array", "object"), F.lit(math.nan))
+        nan = lambda v: F.lit(math.nan)
+        cases = {
+            "number": lambda v: F.try_variant_get(v, "$", "double"),
+            "string": lambda v: dynamic.let(F.try_variant_get(v, "$", "string"), lambda x: to_number(of(x, STRING))),
+            "boolean": lambda v: F.try_variant_get(v, "$", "boolean").cast("double"),
+        }
+        return dynamic.by_kind(v.col, cases | {"array": nan, "object": nan})
     if kind == "null":
         return v.col.cast("double")
     raise ExpressionTypeError("number conversion", "a string, number or boolean", v.label)

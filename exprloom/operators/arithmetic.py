@@ -103,10 +103,15 @@ def binary(op: str, a: Val, b: Val) -> Val:
 
 def _dynamic_sum(a: Val, b: Val) -> Val:
     """Text is joined, other values are added: which of the two is known at run time only."""
-    texts = [dynamic.kind(v.col).isin("string", "array", "object") for v in (a, b) if v.kind == "variant"]
-    joined = F.concat(t.to_text(a), t.to_text(b)).cast("variant")
-    added = (t.to_number(a) + t.to_number(b)).cast("variant")
-    return t.of(F.when(texts[0] if len(texts) == 1 else texts[0] | texts[1], joined).otherwise(added), T.VariantType())
+
+    def body(pair: Column) -> Column:
+        x, y = (v if v.known else t.of(pair[k], v.type) for k, v in (("x", a), ("y", b)))
+        texts = [dynamic.kind(v.col).isin("string", "array", "object") for v in (x, y) if v.kind == "variant"]
+        joined = F.concat(t.to_text(x), t.to_text(y)).cast("variant")
+        added = (t.to_number(x) + t.to_number(y)).cast("variant")
+        return F.when(texts[0] if len(texts) == 1 else texts[0] | texts[1], joined).otherwise(added)
+
+    return t.of(dynamic.let(F.struct(a.col.alias("x"), b.col.alias("y")), body), T.VariantType())
 
 
 def comparable(a: Val, b: Val) -> tuple[Column, Column]:
@@ -288,8 +293,8 @@ def member(v: Val, name: str) -> Val:
     if kind == "variant":
         quoted = name.replace("\\", "\\\\").replace("'", "\\'")
         if name == "length":
-            size = F.when(dynamic.is_kind(v.col, "string"), F.length(dynamic.as_string(v.col))).when(dynamic.is_kind(v.col, "array"), F.size(dynamic.as_array(v.col)))
-            return t.of(size.otherwise(F.try_variant_get(v.col, "$['length']", "int")), T.IntegerType())
+            cases = {"string": lambda v: F.length(F.try_variant_get(v, "$", "string")), "array": lambda v: F.size(F.try_variant_get(v, "$", "array<variant>")), "object": lambda v: F.try_variant_get(v, "$['length']", "int")}
+            return t.of(dynamic.by_kind(v.col, cases), T.IntegerType())
         return t.of(F.try_variant_get(v.col, f"$['{quoted}']", "variant"), T.VariantType())
     if kind == "function":
         raise ExpressionTypeError(name, "a value", "function")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..engine import Engine
 from ..functions.stdlib import everything
-from ..sources import nested, table, with_json
+from ..sources import nested, scratch, table, with_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,6 +150,48 @@ over("nested_lambda", "region", {"key": "r_regionkey", "rich": 'nations.map(.cus
      "WITH n AS (SELECT n_regionkey, n_nationkey, n_name, (count(c_custkey) FILTER (WHERE c_acctbal > 0)) AS rich, count(c_custkey) AS total, coalesce(bool_or(c_acctbal > 9000), false) AS top FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) SELECT r_regionkey AS key, string_agg(rich::VARCHAR, ',' ORDER BY n_nationkey) AS rich, bool_or(top) AS any, sum(total)::INT AS flat, string_agg(n_name, '/' ORDER BY n_nationkey) AS names FROM region JOIN n ON n_regionkey = r_regionkey GROUP BY r_regionkey",
      prepare=_regions)
 
+# Twins of methods and transforms, spreads, and forms of literals.
+over("number_forms", "nation", {"key": "n_nationkey", "hex": "n_nationkey + 0xFF", "bin": "n_nationkey * 0b101", "oct": "0o17 - n_nationkey", "long": "n_nationkey + 1_000_000", "small": "n_nationkey + 25e-2"},
+     "SELECT n_nationkey AS key, n_nationkey + 255.0::DOUBLE AS hex, n_nationkey * 5.0::DOUBLE AS bin, 15.0::DOUBLE - n_nationkey AS oct, n_nationkey + 1000000.0::DOUBLE AS long, n_nationkey + 0.25::DOUBLE AS small FROM nation")
+over("string_escapes", "region", {"key": "r_regionkey", "tab": r'r_name + "\t\x41\u00e9\u{1F600}"', "quote": r"""'it\'s ' + r_name""", "nested": "`${`<${r_name}>`}${'}'.length}`"},
+     "SELECT r_regionkey AS key, r_name || chr(9) || 'Aé😀' AS tab, 'it''s ' || r_name AS quote, '<' || r_name || '>1' AS nested FROM region")
+over("optional_calls", "customer", {"key": "c_custkey", "low": 'o_orderstatus?.toLowerCase() ?? "none"', "cut": 'no_such_column?.slice(1) ?? c_name', "size": "o_orderstatus?.length ?? 0", "chain": "no_such_column?.a?.b(1)?.c == undefined"},
+     "SELECT c_custkey AS key, coalesce(lower(o_orderstatus), 'none') AS low, c_name AS cut, coalesce(length(o_orderstatus), 0)::DOUBLE AS size, true AS chain FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
+     prepare=_with_status)
+over("call_spread", "part", {"key": "p_partkey", "most": "max(...[p_size, 10, 3])", "least": "min(p_size, ...[20, p_retailprice])", "text": 'p_brand.concat(...["-", p_name])', "chars": "[...p_brand].length", "letters": '[..."abc", p_brand].join("")'},
+     "SELECT p_partkey AS key, greatest(p_size, 10)::DOUBLE AS most, least(p_size, 20, p_retailprice)::DOUBLE AS least, p_brand || '-' || p_name AS text, length(p_brand)::INT AS chars, 'abc' || p_brand AS letters FROM part")
+over("string_methods", "customer", {"key": "c_custkey", "bare": '("  " + c_name + "\\t").trim()', "up": "c_name.toUpperCase()", "wide": 'c_name.padEnd(24, "ab")', "text": "c_name.toString()", "number": "c_custkey.toString()"},
+     "SELECT c_custkey AS key, c_name AS bare, upper(c_name) AS up, rpad(c_name, 24, 'ab') AS wide, c_name AS text, c_custkey::VARCHAR AS number FROM customer")
+over("string_transforms", "part", {"key": "p_partkey", "low": "p_name |> lower", "all": 'p_name |> replaceAll("e", "<$&>")', "ends": 'p_name |> endsWith("t")', "has": 'p_name |> includes("ge")', "left": 'p_brand |> padStart(10, "#.")'},
+     "SELECT p_partkey AS key, lower(p_name) AS low, replace(p_name, 'e', '<e>') AS all, ends_with(p_name, 't') AS ends, contains(p_name, 'ge') AS has, CASE WHEN length(p_brand) < 10 THEN lpad(p_brand, 10, '#.') ELSE p_brand END AS left FROM part")
+over("replace_around", "part", {"key": "p_partkey", "around": "p_name.replaceAll(' ', \"[$`|$']\")", "once": "p_name.replace(' ', \"[$`|$']\")", "parts": 'p_name.split(" ", -1).length', "none": 'p_name.split(" ", 0).length'},
+     """WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)
+SELECT p_partkey AS key, array_to_string([w[i] || CASE WHEN i < len(w) THEN '[' || array_to_string(w[1:i], ' ') || '|' || array_to_string(w[i + 1:], ' ') || ']' ELSE '' END FOR i IN range(1, len(w) + 1)], '') AS around,
+       CASE WHEN len(w) > 1 THEN w[1] || '[' || w[1] || '|' || array_to_string(w[2:], ' ') || ']' || array_to_string(w[2:], ' ') ELSE p_name END AS once, len(w)::INT AS parts, 0 AS none FROM p""")
+over("array_methods", "customer", {"key": "c_custkey", "every": "orders.every(.o_totalprice > 20000)", "flat": "[orders.map(.o_orderkey), [1]].flat().length", "deep": "[[orders.map(.o_orderkey)]].flat(2).length", "back": 'orders.map(.o_orderkey).toReversed().slice(0, 2).join(",")'},
+     f"SELECT c_custkey AS key, coalesce(bool_and(o_totalprice > 20000), true) AS every, count(o_orderkey)::INT + 1 AS flat, count(o_orderkey)::INT AS deep, coalesce(array_to_string(list(o_orderkey ORDER BY o_orderkey DESC) FILTER (WHERE o_orderkey IS NOT NULL)[1:2], ','), '') AS back {_GROUPED}",
+     prepare=_orders)
+over("array_transforms", "customer", {"key": "c_custkey", "last": "(orders |> reverse |> first)?.o_orderkey", "flat": "[orders.map(.o_orderkey), [1]] |> flatten |> count", "found": "(orders |> find(.o_totalprice > 200000))?.o_orderkey ?? -1", "some": 'orders |> some(.o_orderstatus == "P")', "kept": "orders |> filter |> count", "same": 'orders |> map(.o_orderkey) |> map |> join("+")'},
+     f"SELECT c_custkey AS key, max(o_orderkey) AS last, count(o_orderkey)::INT + 1 AS flat, coalesce(min(o_orderkey) FILTER (WHERE o_totalprice > 200000), -1)::DOUBLE AS found, coalesce(bool_or(o_orderstatus = 'P'), false) AS some, count(o_orderkey)::INT AS kept, coalesce(string_agg(o_orderkey::VARCHAR, '+' ORDER BY o_orderkey), '') AS same {_GROUPED}",
+     prepare=_orders)
+over("clock", "nation", {"key": "n_nationkey", "late": "now() > 1500000000000", "days": "now() |> diffDays(now() + 86400000 * n_nationkey)"},
+     "SELECT n_nationkey AS key, true AS late, n_nationkey::DOUBLE AS days FROM nation")
+
+
+def _mixed(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Events whose JSON holds a number, a text that looks like one, a truth, a list or nothing, in turn."""
+    texts = F.array(*[F.lit(x) for x in ('{"v": %s}', '{"v": "%s"}', '{"v": true}', '{"v": [%s, "%s"]}', '{"v": null}', '{"v": "false"}', '{"v": 0}')])
+    shape = F.get(texts, F.pmod("event_id", F.lit(7)).cast("int"))
+    return events.withColumn("props", F.parse_json(F.replace(shape, F.lit("%s"), F.col("event_id").cast("string"))))
+
+
+over("variant_strict", "events", {"id": "event_id", "same": "props.v == event_id", "text": 'props.v == event_id.toString()', "truth": "!!props.v", "sum": '(props.v + 1) |> toString', "none": "props.v == null", "size": "props.v.length ?? -1", "has": "(props.v |> isArray) && event_id in props.v", "number": "props.v |> isNumber", "label": "`<${props.v}>`"},
+     """SELECT event_id AS id, event_id % 7 = 0 OR (event_id % 7 = 6 AND event_id = 0) AS same, event_id % 7 = 1 AS text, event_id % 7 IN (1, 2, 3, 5) OR (event_id % 7 = 0 AND event_id <> 0) AS truth,
+       CASE event_id % 7 WHEN 0 THEN (event_id + 1)::VARCHAR WHEN 1 THEN event_id || '1' WHEN 2 THEN '2' WHEN 3 THEN event_id || ',' || event_id || '1' WHEN 4 THEN 'null' WHEN 5 THEN 'false1' ELSE '1' END AS sum,
+       event_id % 7 = 4 AS none, CASE event_id % 7 WHEN 1 THEN length(event_id::VARCHAR) WHEN 3 THEN 2 WHEN 5 THEN 5 ELSE -1 END::DOUBLE AS size, event_id % 7 = 3 AS has, event_id % 7 IN (0, 6) AS number,
+       '<' || CASE event_id % 7 WHEN 2 THEN 'true' WHEN 3 THEN event_id || ',' || event_id WHEN 4 THEN 'null' WHEN 5 THEN 'false' WHEN 6 THEN '0' ELSE event_id::VARCHAR END || '>' AS label FROM events""",
+     prepare=_mixed)
+
 # Constructors, JSON, and rules over text.
 over("object_literal", "nation", {"id": "{ id: n_nationkey, name: n_name }.id", "name": '{ "id": n_nationkey, name: n_name }["name"]', "short": "{ n_name }.n_name", "computed": "{ [n_name]: n_nationkey }[n_name]"},
      "SELECT n_nationkey AS id, n_name AS name, n_name AS short, n_nationkey AS computed FROM nation")
@@ -167,3 +211,31 @@ def rule_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["rule_totals"] = rule_totals
 ORACLES["rule_totals"] = "SELECT l_returnflag || '-' || l_linestatus AS flag, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END)::DOUBLE AS bulk, count(*) AS n FROM lineitem WHERE l_discount > 0.02 GROUP BY 1"
+
+
+def host_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python code of the host: plain, asynchronous and vectorised, also inside a lambda."""
+
+    async def later(x):
+        return x + 1
+
+    e = engine().add_transform("shout", lambda s: s + "!", returns="string").add_transform("next", later, returns="double").add_transform("half", lambda s: s / 2, returns="double", vectorized=True).add_function("rate", lambda x: x * 10, returns="double")
+    return e.select(table(spark, sf_dir, "nation"), {"key": "n_nationkey", "loud": "n_name |> shout", "next": "n_nationkey |> next", "half": "n_nationkey |> half", "rated": '[1, 2].map(. + rate(n_regionkey)).join(",")'})
+
+
+QUERIES["host_code"] = host_code
+ORACLES["host_code"] = "SELECT n_nationkey AS key, n_name || '!' AS loud, n_nationkey + 1.0::DOUBLE AS next, n_nationkey / 2.0::DOUBLE AS half, (n_regionkey * 10 + 1) || ',' || (n_regionkey * 10 + 2) AS rated FROM nation"
+
+
+def stream_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule over a stream of the events file, appended to Parquet and read back."""
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f"{sf_dir}/*.parquet")
+    out = streaming.rules(engine(), stream, 'event_type == "click" && value > 10', {"id": "event_id", "kind": "event_type |> upper", "double": "value * 2"})
+    streaming.write(out, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+QUERIES["stream_rules"] = stream_rules
+ORACLES["stream_rules"] = "SELECT event_id AS id, upper(event_type) AS kind, value * 2 AS double FROM events WHERE event_type = 'click' AND value > 10"

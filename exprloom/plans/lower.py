@@ -32,13 +32,14 @@ class Lowering:
     def __init__(self, source: str, schema: T.StructType, registry: Registry, policy: Policy):
         self.source, self.registry, self.policy, self.options = source, registry, policy, policy.options
         self.fields = {f.name: f.dataType for f in schema.fields}
-        self.depth = 0
+        self.bound: dict[int, Val] = {}
 
     # Entry points.
 
     def value(self, node: n.Node) -> Val:
         self.policy.depth(node)
-        out = self.lower(node)
+        hosts = self.hoisted(node)
+        out = self.around(hosts, node) if hosts else self.lower(node)
         if out.kind == "function":
             error = ExpressionTypeError("expression", "a value", "function")
             error.locate(self.source, node.start, node.end)
@@ -47,11 +48,50 @@ class Lowering:
 
     def predicate(self, node: n.Node) -> Column:
         self.policy.depth(node)
-        return self.condition(node, None)
+        return t.filter_condition(self.value(node)) if self.hoisted(node) else self.condition(node, None)
+
+    # Host code inside lambdas.  Spark runs no Python inside a lambda, but a call there is about the outer row: it is made once
+    # for the row, outside, and its value is passed in.
+
+    def hoisted(self, node: n.Node) -> list[n.Node]:
+        """All outermost calls of host code, if any stands inside a lambda."""
+        found, inside, rest = [], False, [(node, False)]
+        while rest:
+            x, in_lambda = rest.pop()
+            if self.is_host(x):
+                found.append(x)
+                inside = inside or in_lambda
+                continue
+            in_lambda = in_lambda or isinstance(x, n.LambdaExpression)
+            rest += [(c, in_lambda) for c in x.children()]
+        return found if inside else []
+
+    def is_host(self, node: n.Node) -> bool:
+        if isinstance(node, n.PipeExpression):
+            stage = node.transform.callee if isinstance(node.transform, n.CallExpression) else node.transform
+            entry = self.registry.transforms.get(stage.name) if isinstance(stage, n.Identifier) else None
+        else:
+            entry = self.registry.functions.get(node.callee.name) if isinstance(node, n.CallExpression) and isinstance(node.callee, n.Identifier) else None
+        return entry is not None and entry.host
+
+    def around(self, hosts: list[n.Node], node: n.Node) -> Val:
+        calls, out = [self.lower(h) for h in hosts], []
+
+        def body(row: Column) -> Column:
+            self.bound = {id(h): t.of(row[f"c{k}"], v.type) for k, (h, v) in enumerate(zip(hosts, calls, strict=True))}
+            out.append(self.lower(node))
+            return out[-1].col
+
+        made = F.struct(*[v.col.alias(f"c{k}") for k, v in enumerate(calls)])
+        value = F.get(F.transform(F.array(made), body), F.lit(0))
+        self.bound = {}
+        return t.of(value, out[-1].type)
 
     # Nodes.  ``item`` is the element a lambda body is about; outside lambda bodies it is None.
 
     def lower(self, node: n.Node, item: Val | None = None) -> Val:
+        if id(node) in self.bound:
+            return self.bound[id(node)]
         try:
             return getattr(self, f"_{type(node).__name__}")(node, item)
         except LocatedError as error:

@@ -23,6 +23,7 @@ class Entry:
     fn: Callable[..., Val]
     accepts: tuple[str, ...] | None = None
     spread: bool = False
+    host: bool = False
 
     def build(self, args: list[Val]) -> Val:
         try:
@@ -47,7 +48,7 @@ class Registry:
                 raise TypeError(f'"{name}" is asynchronous: give the type it returns')
         else:
             fn = as_udf(fn, returns, vectorized)
-        table[name] = Entry(name, fn, tuple(accepts) if accepts else None, spread)
+        table[name] = Entry(name, fn, tuple(accepts) if accepts else None, spread, returns is not None)
         self.version += 1
 
     def remove(self, table: dict[str, Entry], name: str) -> bool:
@@ -76,7 +77,19 @@ def as_udf(fn: Callable, returns: str | T.DataType, vectorized: bool) -> Callabl
         udf = F.udf(fn, type_, useArrow=True)
 
     def build(*args: Val) -> Val:
-        cols = [t.as_double(a) if a.kind == "number" else a.col for a in args]
-        return t.of(udf(*cols), type_)
+        if not args:  # a batch without columns would have no rows
+            return as_udf(_ignoring_rows(fn), returns, False)(t.number(0))
+        return t.of(udf(*[t.as_double(a) if a.kind == "number" else a.col for a in args]), type_)
 
     return build
+
+
+def _ignoring_rows(fn: Callable) -> Callable:
+    """``fn`` without arguments, to be called for a row."""
+    if inspect.iscoroutinefunction(fn):
+
+        async def later(_):
+            return await fn()
+
+        return later
+    return lambda _: fn()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -78,6 +79,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for files of our own: the one that ``spark.checkpoint.dir`` names, or a local one where all runs in one place."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="exprloom-")
+
+
 def with_json(df: DataFrame, column: str, to: str | None = None) -> DataFrame:
     """``df`` with a JSON text column parsed to VARIANT, whose members expressions can reach."""
     return df.withColumn(to or column, F.parse_json(F.col(column)))

@@ -42,6 +42,37 @@ def test_python_code(spark):
         e.add_transform("bare", later)
 
 
+def test_python_code_inside_lambdas(spark):
+    async def tax(rate=5.0):
+        return rate
+
+    e = Engine().use(everything)
+    e.add_function("tax", tax, returns="double").add_transform("twice", lambda x: x * 2, returns="double").add_function("word", lambda: "b", returns="string")
+    context = {"items": [{"price": 10, "of": [1, 2]}, {"price": 20, "of": []}], "rate": 7, "words": ["a", "b"]}
+    cases = {
+        "items |> map(.price + tax())": [15.0, 25.0],
+        "items.map(.price + tax(rate)).join()": "17,27",
+        "items.filter(.price > tax(15)).length + (rate |> twice)": 15.0,
+        "words.find(. == word())": "b",
+        "words.findIndex(. == word())": 1,
+        "items.some(.price == tax(20)) && items.every(.price > tax())": True,
+        "items.flatMap(.of.map(. + tax()))": [6.0, 7.0],
+        "words |> filter(. != word()) |> first": "a",
+    }
+    assert {s: e.evaluate(s, context) for s in cases} == cases
+    df = from_contexts(spark, [context, context | {"rate": 30}])
+    assert e.where(df, "items.some(.price > tax(rate))").count() == 1
+
+
+def test_asynchronous_evaluation(spark):
+    import asyncio
+
+    async def both():
+        return await asyncio.gather(Engine().evaluate_async("a + 1", {"a": 1}), Engine().evaluate_async("a + 'x'", {"a": "y"}))
+
+    assert asyncio.run(both()) == [2.0, "yx"]
+
+
 @pytest.mark.parametrize(
     ("options", "source", "code"),
     [
