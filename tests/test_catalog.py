@@ -5,7 +5,9 @@ import math
 import duckdb
 import pytest
 
-from exprloom.plans.catalog import ORACLES, QUERIES
+from exprloom.plans import catalog, reports
+
+QUERIES, ORACLES = catalog.QUERIES | reports.QUERIES, catalog.ORACLES | reports.ORACLES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
