@@ -102,14 +102,30 @@ class Model:
 
 
 class Scorer:
-    """Scores texts one after another; remembers the scores of words."""
+    """Scores texts one after another; remembers which words it has seen, and the scores of those that have one."""
+
+    #: Bytes of words remembered, about, and characters up to which a word is remembered.
+    MOST, LONGEST = 96 << 20, 64
 
     def __init__(self, model: Model):
-        self.model, self.memo = model, Memo(model.score)
+        self.model, self.known, self.hot, self.held = model, set(), {}, 0
 
     def __call__(self, text: str) -> tuple[list[tuple[float, int, int]], int]:
-        words, memo = words_of(text), self.memo
-        hot = {w: score for w in set(words) if (score := memo[w])}
+        words = words_of(text)
+        distinct, rare = set(words), {}
+        for word in distinct - self.known:
+            score = self.model.score(word)
+            if len(word) > self.LONGEST:
+                rare[word] = score
+                continue
+            self.known.add(word)
+            self.held += len(word) + Memo.ENTRY
+            if score:
+                self.hot[word] = score
+        hot = {w: self.hot[w] for w in distinct & self.hot.keys()} | {w: s for w, s in rare.items() if s}
+        if self.held > self.MOST:
+            self.known.clear()
+            self.held = 0
         return segments([(i, hot[w]) for i, w in enumerate(words) if w in hot]) if hot else [], len(words)
 
 
