@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,14 +22,23 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
     least = materialise(least, "least")
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    out = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return _written(out, "edges", least)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.where("a > b")
     least = materialise(down.groupBy("a").agg(F.min("b").alias("least")), "least")
     joined = down.join(least, "a").where("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return joined.unionAll(least.select("a", F.col("least").alias("b"))).distinct()
+    return _written(joined.unionAll(least.select("a", F.col("least").alias("b"))).distinct(), "edges", least)
+
+
+def _written(out: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    """``out`` as a table of its own; the tables it was made of are not needed any more."""
+    made = materialise(out, name)
+    for table in used:
+        discard(table)
+    return made
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -44,7 +53,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now = materialise(_small_star(_large_star(now)), "edges")
+        large = _large_star(now)
+        discard(now)
+        now = _small_star(large)
+        discard(large)
         before, mark = mark, _mark(now)
         if mark == before:
             break
