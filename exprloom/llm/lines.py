@@ -106,31 +106,29 @@ def repeated_lines(docs: DataFrame, least: int = 10) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, least: int = 10) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``dropped`` (compressed bitmap of a text's lines, set where one is dropped) for the
-    documents of ``docs`` (doc_id, text) that lose a line; all lines of the others stay."""
+    """``doc_id``, ``text_hash``, ``keep`` (compressed bitmap of a text's lines up to the last that is dropped, set where one is
+    kept) for the documents of ``docs`` (doc_id, text) that lose a line; all other lines stay."""
     places = repeated_lines(docs, least).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("at")).alias("at"))
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         maps = []
         for at in batch.column("at"):
             where = np.asarray(at.values)
-            bits = np.zeros(int(where.max()) + 1, np.uint8)
-            bits[where] = 1
+            bits = np.ones((int(where.max()) // 8 + 1) * 8, np.uint8)  # whole bytes, so that nothing is filled up with zeros
+            bits[where] = 0
             maps.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 6))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(maps, pa.binary())], ["doc_id", "text_hash", "dropped"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(maps, pa.binary())], ["doc_id", "text_hash", "keep"])
 
-    return places.mapInArrow(by_batch(pack), "doc_id long, text_hash long, dropped binary")
+    return places.mapInArrow(by_batch(pack), "doc_id long, text_hash long, keep binary")
 
 
-def kept_lines(data: bytes, dropped: bytes | None) -> tuple[int, int, bytes]:
+def kept_lines(data: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
     """A text's number of lines, how many the bitmap drops, and what is left."""
     lines = data.split(b"\n")
-    if not dropped:
+    if not keep:
         return len(lines), 0, data
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(dropped), np.uint8), bitorder="little", count=None)[: len(lines)]
-    gone = np.zeros(len(lines), bool)
-    gone[: len(bits)] = bits
-    return len(lines), int(gone.sum()), b"\n".join([x for x, g in zip(lines, gone.tolist(), strict=True) if not g])
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little")[: len(lines)]
+    return len(lines), int((bits == 0).sum()), b"\n".join([x for x, b in zip(lines, bits.tolist(), strict=False) if b] + lines[len(bits) :])
 
 
 def with_bitmaps(docs: DataFrame, least: int, to: str) -> DataFrame:
@@ -149,15 +147,15 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     and count as one document.
     """
 
-    extra = unused(docs, "dropped")
+    extra = unused(docs, "keep")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = []
-        for value, dropped in zip(batch.column("text"), batch.column(extra), strict=True):
-            if not value.is_valid or not dropped.is_valid:
+        for value, keep in zip(batch.column("text"), batch.column(extra), strict=True):
+            if not value.is_valid or not keep.is_valid:
                 texts.append(value.as_py())
             else:
-                texts.append(kept_lines(value.as_buffer().to_pybytes(), dropped.as_py())[2].decode("utf-8", "replace"))
+                texts.append(kept_lines(value.as_buffer().to_pybytes(), keep.as_py())[2].decode("utf-8", "replace"))
         names = [c for c in batch.schema.names if c != extra]
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
@@ -168,11 +166,11 @@ def line_report(docs: DataFrame, least: int = 10) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_dropped``, ``kept_sha256`` of each document; see :func:`dedup_lines`."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [kept_lines(data, dropped.as_py()) for data, dropped in zip(bytes_of(batch), batch.column("dropped"), strict=True)]
+        rows = [kept_lines(data, keep.as_py()) for data, keep in zip(bytes_of(batch), batch.column("keep"), strict=True)]
         columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return with_bitmaps(docs.select("doc_id", "text"), least, "dropped").mapInArrow(by_batch(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_bitmaps(docs.select("doc_id", "text"), least, "keep").mapInArrow(by_batch(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""
