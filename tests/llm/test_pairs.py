@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -87,6 +88,35 @@ def test_components_equal_brute_force(spark, chunk):
     assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(want))
 
 
+def test_blocks_widen_with_the_rows():
+    assert [simhash.spare_for(n, 4) for n in (0, 1000, 250_000, 15_000_000, 10**10)] == [1, 1, 2, 3, 5]
+    for spare in (1, 2, 3, 5):
+        masks = [m for (m,) in simhash.pigeonhole_blocks(4, spare)]
+        rng = random.Random(spare)
+        for _ in range(100):
+            flips = sum(1 << bit for bit in rng.sample(range(64), 4))
+            assert any(flips & m == 0 for m in masks)
+
+
+def test_near_duplicates_equal_brute_force(frame):
+    """From texts to components: fingerprints by definition, all pairs compared, repeats, long texts and empty ones."""
+    rng = random.Random(33)
+    rows = [(i, text(rng, rng.choice([0, 1, 3, 5, 40, 300]), 60)) for i in range(80)]
+    for i in range(60):
+        words = rows[i][1].split() * 8 or ["x"]
+        words[rng.randrange(len(words))] = f"edit{i}"
+        rows += [(1000 + i, " ".join(words)), (2000 + i, rows[i][1] + " end")]
+    rows += [*ODD, (5000, text(rng, 300_000, 50)), (4999, rows[3][1]), (5000, "another text")]
+    prints = [exact_fingerprint(t) for _, t in rows[:-3]] + [int(simhash.fingerprint(rows[-3][1].encode(), 4, 42)[0]), *(exact_fingerprint(t) for _, t in rows[-2:])]
+    root = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = min((x for x in (least.get(r), i) if x is not None), default=None)
+    want = sorted(((i, f, least[r]) for (i, _), f, r in zip(rows, prints, root, strict=True)), key=str)
+    got = sorted(((r["doc_id"], r["f0"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(frame(rows, f0=1)).collect()), key=str)
+    assert got == want and len(set(root)) < len(rows) - 40
+
+
 def test_near_duplicates_on_odd_rows(frame):
     rows = simhash.near_duplicates(frame(ODD, node=1, f0=2, component_id=3)).collect()
     by = {}
@@ -205,6 +235,14 @@ def test_lines_equal_brute_force(spark, frame):
     assert lines.line_report(frame(rows).where("doc_id < -5")).count() == 0
 
 
+def test_long_texts_lose_their_lines(frame):
+    long = "\n".join(f"line {k} of a very long text" for k in range(60_000))
+    rows = [(1, long), (2, long + "\nand a line of its own"), (3, "x\n" + long[-3000:])]
+    assert sorted(map(tuple, lines.line_report(frame(rows)).collect()), key=str) == line_report(rows)
+    maps = lines.keep_bitmaps(frame(rows[:1] + [(2, "own line of two\nline 0 of a very long text\nrest")])).collect()
+    assert [np.unpackbits(np.frombuffer(zlib.decompress(r["keep"]), np.uint8), bitorder="little").tolist() for r in maps] == [[1, 0, 1, 1, 1, 1, 1, 1]]
+
+
 def test_dedup_keeps_other_columns(frame):
     docs = frame([(1, "a line that repeats\nx"), (2, "A Line that repeats \ny"), (3, None)], dropped=7)
     got = {r["doc_id"]: (r["text"], r["dropped"]) for r in lines.dedup_lines(docs).collect()}
@@ -301,3 +339,17 @@ def test_decontamination_equals_brute_force(spark, frame, broadcast_bytes):
     kept = sorted((r["doc_id"] for r in decontam.clean(frame(rows, first=9), bench, broadcast_bytes=broadcast_bytes).collect()), key=str)
     assert kept == sorted((r[0] for r in hit_report(rows, items) if not r[5]), key=str)
     assert decontam.report(frame(rows), bench.where("item_id < 0")).where("contaminated").count() == 0
+
+
+def test_contamination_of_long_and_clashing_rows(spark, frame):
+    """Passages at the very end of long texts, windows that many items share, and words that begin or end a text."""
+    rng = random.Random(34)
+    shared = text(rng, 12, 9000)
+    items = [(k, f"{text(rng, 3, 9000)} {shared}") for k in range(60)] + [(70, "... lone!"), (71, shared), (72, "")]
+    rows = [(1, text(rng, 120_000, 9000) + " " + shared), (1, "!" + shared + "?"), (2, "lone"), (None, "...lone..."), (3, " ".join(shared.split()[:9])), (4, f"{shared} {shared}"), (4, f"{shared} {shared}"), (5, "é" + shared), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(rows, window=1, shingle=2, anchor=3, first=4, last=5, pos=6)
+    got = sorted([(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in decontam.report(docs, bench).collect()], key=str)
+    assert got == hit_report(rows, items)
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 6]

@@ -63,6 +63,14 @@ def test_mix(spark, frame):
     assert {r["target"] for r in mixing.mix(docs.where("doc_id <= 3").withColumn("text", docs["text"].substr(1, 0))).collect()} == {0.0}
 
 
+def test_mix_of_long_and_repeated_rows(frame):
+    rows = [(1, "word " * 400_000), (1, "word " * 400_000), (2, "a b"), (2, "another text"), (None, "x y z"), (None, None), (3, "")]
+    got = mixing.mix(frame(rows, source=lambda i: "s", position=1, start=2)).collect()
+    assert sorted(r["size"] for r in got) == [0, 0, 2, 2, 3, 400_000, 400_000]
+    assert sum(r["taken"] for r in got) == math.floor(got[0]["target"]) and all(r["taken"] <= 2 * r["size"] for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(frame(rows[::-1], source=lambda i: "s")).collect()))
+
+
 def test_schedules_are_inverted(spark):
     df = spark.range(0, 101).select((F.col("id") / 100).alias("d"))
     for name, knots in mixing.SCHEDULES.items():
@@ -123,6 +131,17 @@ def test_collision_rate_is_generalised_jaccard(frame, own):
     assert abs(sum(apart) / len(apart)) < 0.02
 
 
+def test_fingerprints_of_long_texts(frame):
+    rng = random.Random(37)
+    long = " ".join(f"w{rng.randrange(30_000)}" for _ in range(200_000))
+    rows = [(1, long), (2, long), (3, long[: len(long) // 2]), (3, "short"), (4, "")]
+    got = sorted(cws.report(frame(rows, place=1, edited=2)).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
+    assert got[0]["near_next"] == 1.0 and got[0]["near_edited"] > 0.5 and got[0]["signature"] == got[1]["signature"]
+    assert abs(sum(x == y for x, y in zip(got[1]["signature"], got[3]["signature"])) / 64 - generalised_jaccard(long, long[: len(long) // 2])) < 0.25
+    edited = long[: len(long) - len(long) // 2] + long[: len(long) // 2]
+    assert got[0]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_null_ids_spread_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(cws, "BUCKET", 20)
     rows = [(None if i % 3 else i, f"text {i % 250} of many words") for i in range(600)]
