@@ -335,14 +335,42 @@ def same_string(s: Val) -> Val:
 
 @method(NUMBERS, "toFixed")
 def to_fixed(x: Val, digits: Val | None = None) -> Val:
-    """Half a unit of the last digit is decided on the decimal text of the double, not on its binary value."""
+    """A fixed number of decimals.  Half a unit of the last one is decided on the binary value, as the language does."""
     if digits is not None and not digits.known:
         raise ExpressionTypeError("toFixed", "a number of digits that is known when compiling", digits.label)
     places = 0 if digits is None or digits.const is None else int(ops.as_float(digits.const))
     if not 0 <= places <= 100:
         raise ExpressionTypeError("toFixed", "a number of digits from 0 to 100", str(places))
     value = t.as_double(x)
-    return _str(F.when(F.isnan(value) | (F.abs(value) >= 1e21), t.number_text(x)).otherwise(F.format_string(f"%.{places}f", value)))
+    shown = F.format_string(f"%.{places}f", value)
+    if places < MOST_EXACT and not isinstance(x.type, t.INTEGRAL):
+        shown = dynamic.let(value, lambda v: F.when(_below_tie(F.abs(v), places), F.format_string(f"%.{places}f", _cut_off(v, places))).otherwise(F.format_string(f"%.{places}f", v)))
+    return _str(F.when(F.isnan(value) | (F.abs(value) >= 1e21), t.number_text(x)).otherwise(shown))
+
+
+#: Powers of ten up to this one are exact in a double.
+MOST_EXACT = 22
+
+
+def _below_tie(v: Column, places: int) -> Column:
+    """Whether a positive number prints like half a unit of its last place, but is less: formatting rounds the decimal text up.
+
+    The product with a power of ten is taken with its rounding error, by splitting both factors in halves."""
+    power = 10.0 ** (places + 1)
+    high = 134217729.0 * power
+    a, b = high - (high - power), power - (high - (high - power))
+    scaled = v * power
+    units = F.rint(scaled)
+    part = lambda v: 134217729.0 * v - (134217729.0 * v - v)
+    error = dynamic.let(v, lambda v: ((part(v) * a - v * power) + part(v) * b + (v - part(v)) * a) + (v - part(v)) * b)
+    return (v < 2.0**53 / power) & (units % 10 == 5) & (units / power == v) & ((scaled - units) + error < 0)
+
+
+def _cut_off(v: Column, places: int) -> Column:
+    """A number without the decimals behind ``places``."""
+    power = 10.0**places
+    cut = (F.floor(F.rint(F.abs(v) * (power * 10)) / 10)).cast("double") / power
+    return F.when(v < 0, -cut).otherwise(cut)
 
 
 @method(NUMBERS, "toString")
