@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mixing, op2_suffix_dedup, op3_simhash, op4_decontamination, op5_quality, op6_line_dedup, op7_fingerprints, op8_token_counts, op9_html, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op4_decontamination": decontam.SQL, "op6_line_dedup": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op2_suffix_dedup": suffix.SQL, "op4_decontamination": decontam.SQL, "op6_line_dedup": lines.SQL}

@@ -400,3 +400,18 @@ def report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return with_spans(docs.select("doc_id", "text"), window, gram).mapInArrow(by_batch(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, (2 * i + 1)::BIGINT, 400)) AS m FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 199))) AS i FROM d)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT r, i, i > lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) + 200 AS fresh FROM w SEMI JOIN t USING (m)),
+g AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM s),
+u AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+k AS (SELECT u.r, u.a, u.b, substr(h, (2 * lag(b, 1, 0) OVER p + 1)::BIGINT, (2 * (a - lag(b, 1, 0) OVER p))::BIGINT) AS piece FROM u JOIN d USING (r) WINDOW p AS (PARTITION BY u.r ORDER BY u.a)),
+n AS (SELECT r, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(piece, '' ORDER BY a) AS head FROM k GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN n USING (r)
+"""
