@@ -382,8 +382,24 @@ def number_string(x: Val, radix: Val | None = None) -> Val:
     base, value = int(ops.as_float(radix.const)), t.as_double(x)
     if base == 10:
         return _str(t.to_text(x))
-    whole = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.lower(F.conv(F.abs(value).cast("long").cast("string"), 10, base)))
-    return _str(F.when(value == F.floor(value), whole).otherwise(F.raise_error(F.lit('"toString" with a radix expects a whole number'))))
+    return _str(dynamic.let(value, lambda v: _in_radix(v, base)))
+
+
+def _in_radix(v: Column, base: int) -> Column:
+    """A double's digits in a radix.  Fractions end only where the radix is a power of two; in others they are refused."""
+    sign, size = F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.abs(v)
+    digits = lambda x: F.lower(F.conv(x.cast("long").cast("string"), 10, base))
+    whole = F.concat(sign, digits(F.floor(size)))
+    wrong = F.raise_error(F.lit(f'"toString" in radix {base} expects a whole number')).cast("string")
+    fraction = wrong
+    if base & (base - 1) == 0:
+        bits = base.bit_length() - 1
+        places = 55 // bits
+        scaled = (size - F.floor(size)) * 2.0 ** (places * bits)  # exact: a power of two
+        shown = F.concat(whole, F.lit("."), F.regexp_replace(F.lpad(digits(scaled), places, "0"), "0+$", ""))
+        fraction = F.when(scaled == F.floor(scaled), shown).otherwise(wrong)
+    special = F.when(F.isnan(v), F.lit("NaN")).when(size == math.inf, F.concat(sign, F.lit("Infinity")))
+    return special.when(v == F.floor(v), whole).otherwise(fraction)
 
 
 # Arrays.

@@ -31,7 +31,7 @@ CASES = [
     ("text.startsWith('he')", True), ("text.startsWith('e', 1)", True), ("text.endsWith('lo')", True), ("text.endsWith('l', 4)", True), ("text.substring(3, 1)", "el"), ("text.substring(2)", "llo"), ("text.charAt(1)", "e"), ("text.charAt(9)", ""), ("text.charCodeAt(0)", 104.0), ("text.charCodeAt(9)", math.nan),
     ("'ab'.repeat(3)", "ababab"), ("'  a '.trim()", "a"), ("'  a '.trimStart()", "a "), ("'  a '.trimEnd()", "  a"), (r"' a﻿'.trim()", "a"), ("text.toUpperCase()", "HELLO"), ("'ß'.toUpperCase()", "SS"), ("'AbC'.toLowerCase()", "abc"), ("text.replace('l', 'L')", "heLlo"), ("text.replace('l', '[$&$$]')", "he[l$]lo"), ("text.replaceAll('l', 'L')", "heLLo"),
     ("'5'.padStart(3, '0')", "005"), ("text.padStart(2)", "hello"), ("'5'.padEnd(3)", "5  "), ("'a,b'.split(',')", ["a", "b"]), ("'abc'.split('')", ["a", "b", "c"]), ("'a.b.c'.split('.', 2)", ["a", "b"]), ("text.includes('ell')", True), ("text.indexOf('l')", 2), ("text.indexOf('l', 3)", 3), ("text.indexOf('z')", -1), ("'hello world'.lastIndexOf('o')", 7), ("text.slice(1, -1)", "ell"), ("text.slice(-3)", "llo"), ("text.at(-1)", "o"), ("text.at(9)", None), ("text.concat(' ', num)", "hello 3"), ("text.toString()", "hello"),
-    ("num.toFixed(2)", "3.00"), ("(255).toString(16)", "ff"), ("num.toString()", "3"), ("items.filter(. > 1)", [2.0, 3.0]), ("items.map(. * 2)", [2.0, 4.0, 6.0]), ("items.find(. > 1)", 2.0), ("items.find(. > 9)", None), ("items.findIndex(. > 2)", 2), ("items.findIndex(. > 9)", -1), ("items.some(. > 2)", True), ("empty.some(. > 2)", False), ("empty.every(. > 0)", True), ("items.every(. > 1)", False),
+    ("num.toFixed(2)", "3.00"), ("(255).toString(16)", "ff"), ("(num / 2).toString(2)", "1.1"), ("(num / -8).toString(16)", "-0.6"), ("(0.1 * num - 0.2).toString(2)", "0.000110011001100110011001100110011001100110011001100111"), ("(num / 10).toString(32)", "0.9j6cpj6cpj6"), ("(num / 0).toString(2)", "Infinity"), ("(num / 3).toString(7)", "1"), ("num.toString()", "3"), ("items.filter(. > 1)", [2.0, 3.0]), ("items.map(. * 2)", [2.0, 4.0, 6.0]), ("items.find(. > 1)", 2.0), ("items.find(. > 9)", None), ("items.findIndex(. > 2)", 2), ("items.findIndex(. > 9)", -1), ("items.some(. > 2)", True), ("empty.some(. > 2)", False), ("empty.every(. > 0)", True), ("items.every(. > 1)", False),
     ("groups.flatMap(.items)", [1.0, 2.0, 3.0]), ("items.flatMap(. + 1)", [2.0, 3.0, 4.0]), ("gap.join('-')", "1--3"), ("items.join()", "1,2,3"), ("[[1], [2, 3]].flat()", [1.0, 2.0, 3.0]), ("[[[1]], [[2]]].flat(2)", [1.0, 2.0]), ("items.toReversed()", [3.0, 2.0, 1.0]), ("[10, 9, 1].toSorted()", [1.0, 10.0, 9.0]), ("[3, 1, 2].toSorted()", [1.0, 2.0, 3.0]), ("items.toSpliced(1, 1, 8, 9)", [1.0, 8.0, 9.0, 3.0]), ("items.toSpliced(1)", [1.0]), ("items.with(1, 99)", [1.0, 99.0, 3.0]), ("items.with(-1, 0)", [1.0, 2.0, 0.0]), ("items.includes(2)", True), ("gap.includes(null)", True), ("items.indexOf(3)", 2), ("words.lastIndexOf('a')", 3), ("words.lastIndexOf('z')", -1), ("items.slice(-2)", [2.0, 3.0]), ("items.at(-1)", 3.0), ("items.at(5)", None), ("items.concat([4], 5)", [1.0, 2.0, 3.0, 4.0, 5.0]),
     # Lambdas.
     ("users.filter(.age >= 18).map(.name).join(', ')", "Alice, Carol"), ("users.map(.name.toUpperCase())", ["ALICE", "BOB", "CAROL"]), ("users.find(.name.startsWith('B')).age", 15.0), ("groups.map(.users.filter(.age >= 18).length)", [1, 1]), ("groups.map(.items.map(. * 2))", [[2.0, 4.0], [6.0]]), ("groups.map(.users.every(.age >= 18))", [False, True]), ("groups.map(.scores.some(. > 90))", [True, False]), ("groups.map(.users.find(.name == 'A'))", [{"name": "A", "age": 25.0}, None]), ("rows.map(.a?.b)", [1.0, None]), ("rows.map(.active ? .name : 'unknown')", ["Ann", "unknown"]), ("rows.map(.score >= 80 ? 'A' : (.score >= 60 ? 'B' : 'C'))", ["A", "C"]), ("items.map(. + num)", [4.0, 5.0, 6.0]), ("items.map(. > 1 && . < 3)", [False, True, False]),
