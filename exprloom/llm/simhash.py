@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import resemblance
+from . import blocks, resemblance
 from .common import bytes_of, by_batch, materialise, unused
 from .components import connected_components
 
@@ -21,8 +22,6 @@ CHUNK = 1024
 PIECE = 1 << 18
 #: Blocks up to this size are compared row against row for all of them at once.
 SMALL = 32
-#: Blocks of a 64-bit fingerprint that a pair must agree on, beyond one for each differing bit.
-SPARE = 3
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLUMN = np.arange(8, dtype=np.int64) * 256
@@ -82,6 +81,12 @@ def pigeonhole_blocks(max_bits: int, spare: int) -> list[list[int]]:
     return [[sum(chosen)] for chosen in combinations(blocks, spare)]
 
 
+def spare_for(rows: int, max_bits: int) -> int:
+    """How many blocks a pair must agree on so that a block of the fingerprint has two bits more than a row number needs: chance
+    meetings stay under one a block however many rows there are.  Every choice finds the same pairs."""
+    return next(k for k in range(1, 65 - max_bits) if 64 * k / (max_bits + k) >= min(48.0, math.log2(max(2, rows)) + 2))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each node to the least node of its component, for the graph of edges (a, b)."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -171,23 +176,22 @@ def link(prints: DataFrame, masks: list[list[int]], max_bits: int, chunk: int =
     """Edges ``a``, ``b`` between nodes whose fingerprints agree on a block and differ in at most ``max_bits`` bits: not all
     of them, but enough that the components are those of all links.  ``prints`` has ``node`` and the fingerprint's words.
 
-    A block of more than ``chunk`` fingerprints is dealt into chunks, and every two chunks meet in a
-    task of their own, so that no task holds more than two chunks and no link is lost.
+    Blocks of more than ``chunk`` fingerprints are compared by :mod:`blocks`.
     """
     words = names(len(masks[0]))
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, mask, strict=True) if m]) for i, mask in enumerate(masks)])
     rows = prints.select("node", F.explode(keys).alias("block"))
-    sizes = prints.select(F.explode(keys).alias("block")).groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialise(sizes, "block-sizes")  # a join with a plain table can be split where a block is hot
-    pieces = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit("chunk"), "node"), pieces).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.least("mine", j).alias("x"), F.greatest("mine", j).alias("y")))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
+    one = F.lit(1).cast("long")
+    sizes = materialise(sizes.select("block", blocks.pieces(F.col("n"), one, chunk, chunk).alias("pieces")), "block-sizes")  # a join with a plain table can be split where a block is hot
     # Blocks of one are gone after this join, so few rows need the fingerprints' words.
-    rows = rows.join(sizes, "block").select("block", "node", pieces.alias("pieces"), mine.alias("mine"))
-    rows = rows.join(prints.select("node", *words), "node").select("block", "node", *words, "pieces", "mine")
-    rows = rows.select("block", "node", *words, F.explode(meet).alias("at")).select("block", "at.x", "at.y", "node", *words)
-    rows = rows.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
-    return rows.mapInArrow(_compare(max_bits, len(words)), "a long, b long")
+    members = materialise(rows.join(sizes, "block").select("block", "node", one.alias("terms"), "pieces"), "block-members")
+
+    def compare(cells: DataFrame) -> DataFrame:
+        met = cells.join(prints.select("node", *words), "node").select("block", "x", "y", "node", *words)
+        return met.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y").mapInArrow(_compare(max_bits, len(words)), "a long, b long")
+
+    return blocks.links(members, compare, chunk, chunk)
 
 
 def _signed(x: int) -> int:
@@ -198,17 +202,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits:
     """``doc_id``, ``f0``, ``component_id`` for every row of ``docs`` (doc_id, text; more columns are ignored).
 
     Two documents are linked if their fingerprints differ in at most ``max_bits`` bits and agree on one of the blocks
-    ``masks``; by default those are pigeonhole blocks of 64-bit fingerprints, on which every such pair agrees.
+    ``masks``; by default those are pigeonhole blocks of 64-bit fingerprints, on which every such pair agrees, and which get
+    wider with the number of fingerprints.
     ``component_id`` is the smallest ``doc_id`` reachable over links.  Texts that are null, empty or
     only white space have fingerprint zero and are linked like others.  Rows with a null ``doc_id``
     keep their place but never name a component unless all its ids are null.  Repeated rows give
     repeated results.  An empty table gives an empty result.
     """
-    masks = masks or pigeonhole_blocks(max_bits, SPARE)
-    words = names(len(masks[0]))
+    words = names(len(masks[0]) if masks else 1)
     node = F.col("f0") if len(words) == 1 else F.xxhash64(*words)
     prints = materialise(fingerprints(docs, shingle, seed, len(words)).withColumn("node", node), "fingerprints")
-    classes = prints.groupBy("node", *words).agg(F.min("doc_id").alias("least"))
+    classes = materialise(prints.groupBy("node", *words).agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    masks = masks or pigeonhole_blocks(max_bits, spare_for(classes.count(), max_bits))
     roots = connected_components(link(classes, masks, max_bits))
     rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "roots")
