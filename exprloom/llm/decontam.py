@@ -113,9 +113,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     prefix = materialise(ranked.where("rarest.n > 0").select("window", "len", "rarest.offset", "rarest.shingle"), "prefix-tokens")
     first = F.col("pos") - F.col("offset")
     near = places.join(prefix, "shingle").where((first >= 0) & (first + F.col("len") <= F.col("width")))
-    near = materialise(near.select("doc_id", "text_hash", first.alias("first"), "window", "len"), "window-candidates")
+    near = near.select("doc_id", "text_hash", first.alias("first"), "window", "len")
     tiles = tokens.where("offset % size = 0 or offset = len - size").select("window", "offset", "shingle")
-    asked = near.join(materialise(tiles, "window-tiles"), "window").select("doc_id", "text_hash", "first", "len", "window", "shingle", (F.col("first") + F.col("offset")).alias("pos"))
+    asked = near.join(tiles, "window").select("doc_id", "text_hash", "first", "len", "window", "shingle", (F.col("first") + F.col("offset")).alias("pos"))
     there = places.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("pos").alias("_pos"), F.col("shingle").alias("_shingle")).distinct()
     missing = asked.join(there, (F.col("text_hash") == F.col("_hash")) & (F.col("pos") == F.col("_pos")) & (F.col("shingle") == F.col("_shingle")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     whole = missing.groupBy("doc_id", "text_hash", "first", "len", "window").agg(F.max(F.col("_pos").isNull()).alias("missing")).where("not missing")
