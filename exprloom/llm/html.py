@@ -4,8 +4,8 @@ A page is read as a sequence of text blocks, each with its root-to-leaf path of
 path the text length and the punctuation of all its blocks are added up and divided by the number of
 blocks, less what is link text.  Both ratios are smoothed along the page and fused by
 multiplication; paths above a threshold are content.  The text is every block on a content path, short
-ones too, and the headings right before them; where articles hold such blocks, only what lies in
-articles.
+ones too, with the lists, tables, quotes and short paragraphs that stand in the same containers and the
+headings right before them; where articles hold such blocks, only what lies in articles.
 
 What stands in navigation, forms, scripts and hidden elements is left out before.  Class, id and role are
 hints: an element whose name is that of page furniture is left out; a name that merely contains such
@@ -36,6 +36,8 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "d
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements of running text, which belong to the container they stand in.
+PROSE = {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"} | HEADINGS
 WORDS = r"ads?|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share|sharing|sidebar|related|recommend\w*|comments?|commentlist|disqus\w*|reply|replies|respond|breadcrumbs?|menus?|nav|navbar|navigation|footer|masthead|toolbar|pagination|pager|widgets?|skip|search|tags|complementary|contentinfo|copyright|disclaimer|feedback|rating|print"
 TOP_WORDS = "header|topbar"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -55,10 +57,12 @@ OPEN, MAYBE, OUT = range(3)
 
 @dataclass
 class Block:
-    """A run of text between block boundaries: the number and the last tag of its path, its text, how much of it is link
-    text, the article or main element it lies in (0: none), and the nearest element around it that may be furniture (-1: none)."""
+    """A run of text between block boundaries: the number and the last tag of its path, the path of its container, its text,
+    how much of it is link text, the article or main element it lies in (0: none), and the nearest element around it that
+    may be furniture (-1: none)."""
 
     path: int
+    home: int
     tag: str
     text: str
     linked: int
@@ -68,10 +72,12 @@ class Block:
 
 @dataclass
 class Element:
-    """An open element: its tag, path, region, whether it is left out, and the nearest doubtful element from it upwards."""
+    """An open element: its tag, path, nearest container's path, region, whether it is left out, and the nearest doubtful
+    element from it upwards."""
 
     tag: str
     path: int
+    home: int
     region: int
     out: bool
     doubt: int
@@ -145,7 +151,7 @@ class Reader:
         self.blocks: list[Block] = []
         self.doubts: list[int] = []  # for each doubtful element the nearest doubtful one around it
         self.paths: dict[tuple[int, str], int] = {}
-        self.stack: list[Element] = [Element("", 0, 0, False, -1)]
+        self.stack: list[Element] = [Element("", 0, 0, 0, False, -1)]
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.links = self.linked = self.regions = 0
@@ -156,7 +162,7 @@ class Reader:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             top = self.stack[-1]
             if text and not top.out:
-                self.blocks.append(Block(top.path, top.tag, text, min(self.linked, len(text)), top.region, top.doubt))
+                self.blocks.append(Block(top.path, top.home, top.tag, text, min(self.linked, len(text)), top.region, top.doubt))
             self.parts.clear()
         self.linked, self.muted = 0, None
 
@@ -178,7 +184,7 @@ class Reader:
             self.doubts.append(doubt)
             doubt = len(self.doubts) - 1
         self.open[tag] += 1
-        self.stack.append(Element(tag, path, region, up.out or verdict == OUT, doubt))
+        self.stack.append(Element(tag, path, up.home if tag in PROSE else path, region, up.out or verdict == OUT, doubt))
 
     def close(self, tags: set[str], within: set[str] | frozenset[str] = frozenset()) -> bool:
         """Close the nearest open element among ``tags``, with all inside it, unless one of ``within`` is nearer."""
@@ -316,7 +322,9 @@ def main_text(page: str, threshold: float = 0.5) -> str:
     for b, s in zip(blocks, scores, strict=True):
         paths.setdefault(b.path, []).append(s)
     content = {p for p, each in paths.items() if sum(each) >= threshold * mean * len(each)}
-    good = [b.path in content and b.linked < len(b.text) and not _only_links(b) for b in blocks]
+    homes = {b.home for b in blocks if b.path in content and b.linked < len(b.text)}
+    fits = [b.path in content or (b.home in homes and b.tag not in HEADINGS) for b in blocks]
+    good = [f and b.linked < len(b.text) and not _only_links(b) for b, f in zip(blocks, fits, strict=True)]
     # Article and main elements say where the text is, if they hold any; all that do stay together.
     if any(g and b.region for b, g in zip(blocks, good, strict=True)):
         good = [g and b.region > 0 for b, g in zip(blocks, good, strict=True)]
