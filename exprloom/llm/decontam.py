@@ -27,6 +27,9 @@ WINDOW, SHINGLE = 10, 5
 BROADCAST_BYTES = 32 << 20
 #: What a row costs in a hash table beyond its strings.
 ROW_BYTES = 64
+#: Bits of the filter that spares most positions the shuffle where the benchmark is too large to broadcast: 32 for each token,
+#: within these powers of two.
+FILTER_BITS = (16, 24)
 
 
 class Found(NamedTuple):
@@ -90,12 +93,34 @@ def _scan(docs: DataFrame, shingles: DataFrame, sizes: Sequence[int], limit: int
     else:
         every = F.array(*[F.struct(F.lit(n).alias("size"), token(F.col("h"), F.col("pos"), n).alias("token")) for n in sizes])
         rows = rows.select("doc_id", "text_hash", "w", "pos", F.explode(every).alias("s")).select("doc_id", "text_hash", "w", "pos", "s.size", "s.token")
-    side = F.broadcast if _fits_broadcast(shingles, F.octet_length(F.array_join("said", " ")), limit) else lambda df: df
-    same = (F.col("d.token") == F.col("s.token")) & (F.slice("d.w", F.col("d.pos") + 1, F.col("d.size")) == F.col("s.said"))
-    joined = rows.alias("d").join(side(shingles.select("token", "said", "shingle")).alias("s"), same, "left")
     anchor = (F.col("pos") == 0) & (F.col("size") == sizes[0])
-    n_words = (F.size("w") - _ends(F.col("w"))).cast("long")
-    return joined.where(F.col("shingle").isNotNull() | anchor).select("doc_id", "text_hash", n_words.alias("n_words"), F.size("w").alias("width"), "pos", "shingle", anchor.alias("anchor"))
+    rows = rows.withColumn("anchor", anchor)
+    n_words = (F.size("w") - _ends(F.col("w"))).cast("long").alias("n_words")
+    given = shingles.select("token", "said", "shingle")
+    out = ["doc_id", "text_hash", "n_words", "width", "pos", "shingle", "anchor"]
+    if _fits_broadcast(shingles, F.octet_length(F.array_join("said", " ")), limit):
+        same = (F.col("d.token") == F.col("s.token")) & (F.slice("d.w", F.col("d.pos") + 1, F.col("d.size")) == F.col("s.said"))
+        joined = rows.alias("d").join(F.broadcast(given).alias("s"), same, "left").where(F.col("shingle").isNotNull() | F.col("anchor"))
+        return joined.select("doc_id", "text_hash", n_words, F.size("w").alias("width"), "pos", "shingle", "anchor")
+    near = rows.where(_maybe(given, F.col("token")) | F.col("anchor"))
+    near = near.select("doc_id", "text_hash", n_words, F.size("w").alias("width"), "pos", "anchor", "token", F.slice("w", F.col("pos") + 1, F.col("size")).alias("said"))
+    return near.join(given, ["token", "said"], "left").where(F.col("shingle").isNotNull() | F.col("anchor")).select(*out)
+
+
+def _maybe(shingles: DataFrame, token: Column) -> Column:
+    """Whether a token may be one of the shingles': false for most that are not, by a bitmap whose size the parameters bound."""
+    least, most = FILTER_BITS
+    bits = min(most, max(least, (32 * max(1, shingles.count())).bit_length()))
+    place = lambda t: t.bitwiseAND(F.lit((1 << bits) - 1))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
+    at = place(F.col("token"))
+    words = shingles.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit(at)).alias("bits")).collect()
+    bitmap = [0] * (1 << (bits - 6))
+    for r in words:
+        bitmap[r["word"]] = r["bits"]
+    stored = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")  # folded to one literal
+    p = place(token)
+    return F.get(stored, F.shiftright(p, 6).cast("int")).bitwiseAND(bit(p)) != 0
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> Found:
