@@ -44,12 +44,14 @@ def links(members: DataFrame, compare: Callable[[DataFrame], DataFrame], chunk:
     mixed = materialise(ends.groupBy("block").agg(F.count("*").alias("n"), F.sum("terms").alias("terms")).where("n > 1").select("block", pieces(F.col("n"), F.col("terms"), chunk, most_terms).alias("pieces")), "mixed-blocks")
     ends = ends.select("block", "node").join(mixed, "block").select("block", "node", dealt("ends", "node", "pieces").alias("x"))
     joined = materialise(edges.unionAll(compare(ends.select("block", "x", F.col("x").alias("y"), "node"))), "chunk-links")
-    discard(edges)
+    for table in (edges, labelled, mixed):
+        discard(table)
     labelled = _labelled(large, joined)
     parts = materialise(labelled.groupBy("block", "root").agg(F.count("*").alias("n"), F.sum("terms").alias("terms")), "block-parts")
     whole = parts.groupBy("block").agg(F.sum("n").alias("n"), F.sum("terms").alias("terms"), F.max(F.struct("n", "root", "terms")).alias("first")).where("n > first.n")
     split = whole.select("block", F.col("first.root").alias("first"), pieces(F.col("n"), F.col("terms"), chunk, most_terms).alias("chunks"), pieces(F.col("n") - F.col("first.n"), F.col("terms") - F.col("first.terms"), chunk, most_terms).alias("others"))
     split = materialise(split, "split-blocks")
+    discard(parts)
     if split.isEmpty():
         return joined
     rows = labelled.join(split, "block").select("block", "node", (F.col("root") != F.col("first")).alias("other"), "chunks", "others", dealt("chunk", "node", "chunks").alias("i"), dealt("other", "node", "others").alias("j"))

@@ -27,50 +27,36 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _COLUMN = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(data: bytes, shingle: int, seed: int, words: int = 1) -> np.ndarray:
-    """SimHash of the word shingles of a UTF-8 text in ``words`` words of 64 bits; 0 if it has no word.
-
-    The first word is that of the shingles' own hashes, the others of fixed scramblings of them."""
+def fingerprint(data: bytes, shingle: int, seed: int) -> int:
+    """SimHash of the word shingles of a UTF-8 text, repeats included; 0 if it has no word."""
     tokens = data.lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return 0
     text = b" ".join(tokens)
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths).tolist()
     ends = ends[min(shingle, len(tokens)) - 1 :].tolist()
-    digest, total, ones = xxhash.xxh64_intdigest, len(ends), np.zeros((words, 64), np.int64)
-    for at in range(0, total, PIECE):
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    for at in range(0, len(ends), PIECE):
         hashes = np.array([digest(text[s:e], seed) for s, e in zip(starts[at : at + PIECE], ends[at : at + PIECE], strict=False)], dtype="<u8")
-        for k in range(words):
-            each = (hashes if k == 0 else _scramble(hashes, k)).view(np.uint8).reshape(-1, 8) + _COLUMN
-            ones[k] += (np.bincount(each.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
-    return np.packbits(ones * 2 > total, axis=1, bitorder="little").view("<u8").ravel()
-
-
-def _scramble(hashes: np.ndarray, k: int) -> np.ndarray:
-    x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def names(words: int) -> list[str]:
-    return [f"f{k}" for k in range(words)]
+        each = hashes.view(np.uint8).reshape(-1, 8) + _COLUMN
+        ones += (np.bincount(each.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int(np.packbits(ones * 2 > len(ends), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, words: int = 1) -> DataFrame:
-    """``doc_id`` and ``f0``, ``f1`` ... (the words of the fingerprint as signed longs) for each row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``doc_id`` and ``print`` (the fingerprint as a signed long) for each row of ``docs`` (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(x, shingle, seed, words) for x in bytes_of(batch)], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(words))], ["doc_id", *names(words)])
+        found = np.array([fingerprint(x, shingle, seed) for x in bytes_of(batch)], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "print"])
 
-    return docs.select("doc_id", "text").mapInArrow(by_batch(run), ", ".join(f"{c} long" for c in ["doc_id", *names(words)]))
+    return docs.select("doc_id", "text").mapInArrow(by_batch(run), "doc_id long, print long")
 
 
-def pigeonhole_blocks(max_bits: int, spare: int) -> list[list[int]]:
-    """Bit masks, one word each, of which two 64-bit fingerprints within ``max_bits`` agree on at least one.
+def pigeonhole_blocks(max_bits: int, spare: int) -> list[int]:
+    """Bit masks, of which two 64-bit fingerprints within ``max_bits`` agree on at least one.
 
     The 64 bits are cut into ``max_bits + spare`` blocks; ``max_bits`` differing bits spoil at most as
     many blocks, so some choice of ``spare`` blocks agrees entirely.
@@ -78,7 +64,7 @@ def pigeonhole_blocks(max_bits: int, spare: int) -> list[list[int]]:
     count = max_bits + spare
     cuts = [64 * k // count for k in range(count + 1)]
     blocks = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [[sum(chosen)] for chosen in combinations(blocks, spare)]
+    return [sum(chosen) for chosen in combinations(blocks, spare)]
 
 
 def spare_for(rows: int, max_bits: int) -> int:
@@ -106,7 +92,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _far(prints: np.ndarray, one: np.ndarray | int, two: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(prints[one] ^ prints[two]).sum(axis=-1)
+    return np.bitwise_count(prints[one] ^ prints[two])
 
 
 def _search(prints: np.ndarray, low: int, high: int, max_bits: int) -> tuple[list[int], list[int]]:
@@ -149,7 +135,7 @@ def link_blocks(group: np.ndarray, node: np.ndarray, prints: np.ndarray, max_bit
     return forest(node[np.concatenate(one)], node[np.concatenate(two)])
 
 
-def _compare(max_bits: int, words: int):
+def _compare(max_bits: int):
     """Stream over rows sorted by block and link rows of one block; a block left open by a batch waits for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,30 +152,28 @@ def _compare(max_bits: int, words: int):
             yield emit(kept, np.zeros(len(kept), np.int64))
 
     def emit(rows: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        a, b = link_blocks(group, rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint64), max_bits)
+        node = np.ascontiguousarray(rows[:, 3])
+        a, b = link_blocks(group, node, node.view(np.uint64), max_bits)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def link(prints: DataFrame, masks: list[list[int]], max_bits: int, chunk: int = CHUNK) -> DataFrame:
-    """Edges ``a``, ``b`` between nodes whose fingerprints agree on a block and differ in at most ``max_bits`` bits: not all
-    of them, but enough that the components are those of all links.  ``prints`` has ``node`` and the fingerprint's words.
+def link(prints: DataFrame, masks: list[int], max_bits: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``a``, ``b`` between different fingerprints, the ``node`` column of ``prints``, that agree on a block and differ in at
+    most ``max_bits`` bits: not all of them, but enough that the components are those of all links.
 
     Blocks of more than ``chunk`` fingerprints are compared by :mod:`blocks`.
     """
-    words = names(len(masks[0]))
-    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, mask, strict=True) if m]) for i, mask in enumerate(masks)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(_signed(mask)))) for i, mask in enumerate(masks)])
     rows = prints.select("node", F.explode(keys).alias("block"))
     sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
     one = F.lit(1).cast("long")
     sizes = materialise(sizes.select("block", blocks.pieces(F.col("n"), one, chunk, chunk).alias("pieces")), "block-sizes")  # a join with a plain table can be split where a block is hot
-    # Blocks of one are gone after this join, so few rows need the fingerprints' words.
-    members = materialise(rows.join(sizes, "block").select("block", "node", one.alias("terms"), "pieces"), "block-members")
+    members = materialise(rows.join(sizes, "block").select("block", "node", one.alias("terms"), "pieces"), "block-members")  # blocks of one are gone
 
     def compare(cells: DataFrame) -> DataFrame:
-        met = cells.join(prints.select("node", *words), "node").select("block", "x", "y", "node", *words)
-        return met.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y").mapInArrow(_compare(max_bits, len(words)), "a long, b long")
+        return cells.select("block", "x", "y", "node").repartition("block", "x", "y").sortWithinPartitions("block", "x", "y").mapInArrow(_compare(max_bits), "a long, b long")
 
     return blocks.links(members, compare, chunk, chunk)
 
@@ -198,28 +182,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits: int = 4, masks: list[list[int]] | None = None) -> DataFrame:
-    """``doc_id``, ``f0``, ``component_id`` for every row of ``docs`` (doc_id, text; more columns are ignored).
+def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, max_bits: int = 4) -> DataFrame:
+    """``doc_id``, ``print``, ``component_id`` for every row of ``docs`` (doc_id, text; more columns are ignored).
 
-    Two documents are linked if their fingerprints differ in at most ``max_bits`` bits and agree on one of the blocks
-    ``masks``; by default those are pigeonhole blocks of 64-bit fingerprints, on which every such pair agrees, and which get
-    wider with the number of fingerprints.
+    Two documents are linked if their fingerprints differ in at most ``max_bits`` bits.  Such pairs agree on a pigeonhole
+    block; blocks get wider with the number of fingerprints.
     ``component_id`` is the smallest ``doc_id`` reachable over links.  Texts that are null, empty or
     only white space have fingerprint zero and are linked like others.  Rows with a null ``doc_id``
     keep their place but never name a component unless all its ids are null.  Repeated rows give
     repeated results.  An empty table gives an empty result.
     """
-    words = names(len(masks[0]) if masks else 1)
-    node = F.col("f0") if len(words) == 1 else F.xxhash64(*words)
-    prints = materialise(fingerprints(docs, shingle, seed, len(words)).withColumn("node", node), "fingerprints")
-    classes = materialise(prints.groupBy("node", *words).agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    masks = masks or pigeonhole_blocks(max_bits, spare_for(classes.count(), max_bits))
+    prints = materialise(fingerprints(docs, shingle, seed), "fingerprints")
+    classes = materialise(prints.groupBy(F.col("print").alias("node")).agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    masks = pigeonhole_blocks(max_bits, spare_for(classes.count(), max_bits))
     roots = connected_components(link(classes, masks, max_bits))
     rooted = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "roots")
     named = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-names")
     labels = rooted.join(named, "root").select("node", "component_id")
-    return prints.join(labels, "node").select("doc_id", "f0", "component_id")
+    return prints.join(labels, prints["print"] == labels["node"]).select("doc_id", "print", "component_id")
 
 
 def distinct_documents(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
