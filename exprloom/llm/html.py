@@ -9,8 +9,8 @@ headings right before them; where articles hold such blocks, only what lies in a
 
 What stands in navigation, forms, scripts and hidden elements is left out before.  Class, id and role are
 hints: an element whose name is that of page furniture is left out; a name that merely contains such
-a word, as wrappers often have ("layout has-sidebar"), counts only if the element does not hold most of the
-page's text.  Time and memory are linear in the page: paths are interned as parent and tag, and the
+a word, as wrappers often have ("layout has-sidebar"), or that may mean something else ("print"), counts only if
+the element does not hold most of the page's text.  Time and memory are linear in the page: paths are interned as parent and tag, and the
 scanner never looks at a character twice for want of an end.
 """
 
@@ -38,18 +38,20 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table",
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements of running text, which belong to the container they stand in.
 PROSE = {"p", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"} | HEADINGS
-WORDS = r"ads?|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|social|share|sharing|sidebar|related|recommend\w*|comments?|commentlist|disqus\w*|reply|replies|respond|breadcrumbs?|menus?|nav|navbar|navigation|footer|masthead|toolbar|pagination|pager|widgets?|skip|search|tags|complementary|contentinfo|copyright|disclaimer|feedback|rating|print"
+WORDS = r"ads?|adv|advert\w*|adbox|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|newsletter|subscri\w*|signup|login|sidebar|comments?|commentlist|disqus\w*|reply|replies|respond|breadcrumbs?|menus?|nav|navbar|navigation|footer|masthead|toolbar|pagination|pager|complementary|contentinfo|copyright|disclaimer"
+WEAK_WORDS = r"notices?|alerts?|modal|overlay|social|share|sharing|related|recommend\w*|widgets?|skip|search|tags|feedback|rating|print"
 TOP_WORDS = "header|topbar"
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：«»\"“”„]")
 
-_EXACT, _PART = re.compile(rf"(?:{WORDS})", re.I), re.compile(rf"(?:^|[_-])(?:{WORDS})(?:$|[_-])", re.I)
+_EXACT, _PART = re.compile(rf"(?:{WORDS})", re.I), re.compile(rf"(?:^|[_-])(?:{WORDS}|{WEAK_WORDS})(?:$|[_-])", re.I)
 _TOP_EXACT, _TOP_PART = re.compile(rf"(?:{TOP_WORDS})", re.I), re.compile(rf"(?:^|[_-])(?:{TOP_WORDS})(?:$|[_-])", re.I)
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r">|=\s*([\"'])")
 _SPACE = re.compile(r"\s+")
 _GAP = re.compile(r"[\s/]*")
 _KEY = re.compile(r"[^\s=/>]+|=")
+_BARE, _GAP_ONLY = re.compile(r"\S*"), re.compile(r"\s*")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 OPEN, MAYBE, OUT = range(3)
@@ -106,19 +108,15 @@ def attributes(text: str) -> dict[str, str]:
             at += 1
             continue
         name, at = key[0].lower(), key.end()
-        value = ""
-        after = _SPACE.match(text, at)
-        equals = after.end() if after else at
+        value, equals = "", _GAP_ONLY.match(text, at).end()
         if text[equals : equals + 1] == "=":
-            after = _SPACE.match(text, equals + 1)
-            at = after.end() if after else equals + 1
-            quote = text[at : at + 1]
-            end = text.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+            at = _GAP_ONLY.match(text, equals + 1).end()
+            end = text.find(text[at], at + 1) if text[at : at + 1] in ("'", '"') else -1
             if end >= 0:
                 value, at = text[at + 1 : end], end + 1
             else:
-                plain = re.compile(r"[^\s]*").match(text, at)
-                value, at = plain[0], plain.end()
+                bare = _BARE.match(text, at)
+                value, at = bare[0], bare.end()
         found.setdefault(name, html.unescape(value))
     return found
 

@@ -252,7 +252,7 @@ def test_pages_table(spark):
     assert html.extract(pages.where("page_id > 9")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["layout has-sidebar", "post no-comments", "page with-banner", "tags-list post", "theme-print content", "content-alert"])
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post no-comments", "page with-banner", "tags-list post", "theme-print content", "content-alert", "print", "search"])
 @pytest.mark.parametrize("element", ["article", "section"])
 def test_wrappers_with_furniture_words_keep_their_text(name, element):
     body = "".join(LONG.format(k) for k in range(5))
