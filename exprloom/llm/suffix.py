@@ -190,12 +190,13 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-#: A context: its bucket ``h``, a hash ``c`` of its bytes, its text, its first window, how many it has, and where its gram is.
-CONTEXT = "h long, c long, doc_id long, text_hash long, at int, n int, g int"
+#: A context: its bucket ``h``, a hash ``c`` of its bytes, its text, its first window, how many it has, where its gram is, and how
+#: many equal contexts follow one upon the other from there, as in periodic text.
+CONTEXT = "h long, c long, doc_id long, text_hash long, at int, n int, g int, times int"
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """One row a context."""
+    """One row a context, or a run of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, digest = Powers(1 << PIECE_BITS), xxhash.xxh3_64_intdigest
@@ -205,11 +206,14 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(data) >= window:
                     h, at, n, g = contexts(data, powers, window, gram)
                     c = np.array([digest(data[a:b]) for a, b in zip(at.tolist(), (at + n + window - 1).tolist(), strict=True)], np.uint64)
-                    parts.append((h.view(np.int64), c.view(np.int64), np.full(len(h), row), at.astype(np.int32), n.astype(np.int32), g.astype(np.int32)))
+                    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])]))
+                    times = np.diff(np.append(first, len(h)))
+                    parts.append((h[first].view(np.int64), c[first].view(np.int64), np.full(len(first), row), *(x[first].astype(np.int32) for x in (at, n, g)), times.astype(np.int32)))
             if parts:
-                h, c, row, at, n, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+                h, c, row, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), batch.column("doc_id").take(row), batch.column("text_hash").take(row), pa.array(at), pa.array(n), pa.array(g)], ["h", "c", "doc_id", "text_hash", "at", "n", "g"])
+                arrays = [pa.array(h), pa.array(c), batch.column("doc_id").take(row), batch.column("text_hash").take(row), *map(pa.array, rest)]
+                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in CONTEXT.split(", ")])
 
     return docs.mapInArrow(run, CONTEXT)
 
@@ -261,7 +265,7 @@ def _halves(low: int, high: int, window: int, gram: int):
                     rows.append(row)
         rows, signed = pa.array(rows, pa.int64()), lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         kept = {x: batch.column(x).take(rows) for x in ("doc_id", "text_hash", "g", "single")}
-        arrays = [signed(out["h"]), signed(out["c"]), kept["doc_id"], kept["text_hash"], pa.array(out["at"], pa.int32()), pa.array(out["n"], pa.int32()), kept["g"], kept["single"], pa.array(out["bytes"], pa.binary())]
+        arrays = [signed(out["h"]), signed(out["c"]), kept["doc_id"], kept["text_hash"], pa.array(out["at"], pa.int32()), pa.array(out["n"], pa.int32()), kept["g"], pa.array(np.ones(len(rows), np.int32)), kept["single"], pa.array(out["bytes"], pa.binary())]
         return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PART.split(", ")])
 
     return run
@@ -320,10 +324,10 @@ def _settle(rows: DataFrame, window: int, most_contexts: int | None) -> tuple[Da
     those of more than ``most_contexts`` are ``hot``, to be divided.
 
     What is joined back is written first: a join of plain tables can be split where a bucket is hot."""
-    carried = [x for x in rows.columns if x not in ("h", "c")]
-    kinds = materialise(rows.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct(*carried)).alias("one")), "context-kinds")
+    carried = [x for x in rows.columns if x not in ("h", "c", "times")]
+    kinds = materialise(rows.groupBy("h", "c").agg(F.sum("times").alias("copies"), F.min(F.struct(*carried)).alias("one")), "context-kinds")
     whole = rows.where("single").join(kinds.where("copies > 1").select("h", "c"), ["h", "c"])
-    spans = whole.select("doc_id", "text_hash", F.col("at").alias("first"), (F.col("at") + F.col("n") + window - 1).alias("last"))
+    spans = whole.select("doc_id", "text_hash", F.col("at").alias("first"), (F.col("at") + F.col("n") * F.col("times") + window - 1).alias("last"))
     buckets = materialise(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     single = (F.col("copies") == 1) & F.col("one.single")
     wanted = kinds.join(buckets, "h").select("h", *[F.col(f"one.{x}") for x in carried if x != "single"], single.alias("single"), (F.lit(False) if most_contexts is None else F.col("kinds") > most_contexts).alias("hot"))
@@ -334,7 +338,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most
     """``doc_id``, ``text_hash``, ``first``, ``last`` (bytes, last exclusive): spans that cover exactly the bytes of windows that
     also start elsewhere, in this document or another.  ``docs`` has doc_id, text_hash, text."""
     every = materialise(anchors(docs, window, gram), "contexts")
-    busy = materialise(every.groupBy("h").agg(F.count("*").alias("seen")).where("seen > 1").select("h"), "busy-grams")
+    busy = materialise(every.groupBy("h").agg(F.sum("times").alias("seen")).where("seen > 1").select("h"), "busy-grams")
     shared = materialise(every.join(busy, "h").withColumn("single", F.lit(True)), "shared-contexts")
     spans, wanted = _settle(shared, window, most_contexts)
     pieces = materialise(_cut_out(docs, wanted, window), "context-bytes")

@@ -291,6 +291,14 @@ def test_repeats_in_long_texts_and_large_buckets(frame):
     assert got == span_report(rows, 200)
 
 
+def test_periodic_texts_make_few_rows(frame):
+    rng = random.Random(10)
+    rows = [(1, "ab " * 60_000), (2, "ab " * 3000 + "end"), (3, " " * 50_000), (4, "x" + " " * 260), (5, "abc " * 60 + text(rng, 100) + " abc" * 70), (6, "q" * 199), (7, "q" * 200), (8, "z" * 201)]
+    docs = frame(rows)
+    assert suffix.anchors(docs.withColumn("text_hash", docs["doc_id"]).select("doc_id", "text_hash", "text"), 200, 50).count() < 800
+    assert sorted(map(tuple, suffix.report(docs).collect()), key=str) == span_report(rows, 200)
+
+
 def test_suffix_array_orders_suffixes():
     powers, rng = suffix.Powers(1 << 14), random.Random(7)
     for size, letters in [(1, 1), (40, 1), (300, 2), (900, 4), (700, 256)]:
