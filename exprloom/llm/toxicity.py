@@ -105,7 +105,7 @@ class Scorer:
     """Scores texts one after another; remembers which words it has seen, and the scores of those that have one."""
 
     #: Bytes of words remembered, about, and characters up to which a word is remembered.
-    MOST, LONGEST = 96 << 20, 64
+    MOST, LONGEST = 32 << 20, 64
 
     def __init__(self, model: Model):
         self.model, self.known, self.hot, self.held = model, set(), {}, 0
@@ -155,8 +155,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return materialise(one.select("least.text", "toxic"), "toxicity-training")
 
 
+#: Distinct terms that a task counts before it hands the counts on; they are added up behind the shuffle.
+MOST_TERMS = 1 << 16
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, Counter] = {"bad": Counter(), "good": Counter(), "uses": Counter()}
+
+    def counted() -> pa.RecordBatch:
+        names = list(set().union(*totals.values()))
+        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in totals.values())], ["term", *totals])
+        for c in totals.values():
+            c.clear()
+        return out
+
     for batch in batches:
         for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
             tokens = [p for w in words_of(text) for p in parts_of(w)]
@@ -165,8 +177,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not toxic:
                 totals["uses"].update(f"w{t}" for t in tokens)
                 totals["uses"]["d"] += len(tokens)
-    names = list(set().union(*totals.values()))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in totals.values())], ["term", *totals])
+            if sum(map(len, totals.values())) > MOST_TERMS:
+                yield counted()
+    yield counted()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
