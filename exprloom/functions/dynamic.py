@@ -19,18 +19,31 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _named(name: Column, kind: str) -> Column:
+    """Whether the name that Spark gives a value's type means that kind."""
+    if kind in ("string", "boolean"):
+        return name == kind.upper()
+    if kind in ("array", "object"):
+        return F.startswith(name, F.lit(kind.upper()))
+    return ~(name.isin("STRING", "BOOLEAN", "VOID") | F.startswith(name, F.lit("ARRAY")) | F.startswith(name, F.lit("OBJECT")))
+
+
 def kind(v: Column) -> Column:
     """string, number, boolean, array, object, or null, which SQL's null is too."""
 
     def named(name: Column) -> Column:
-        plain = F.when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name == "VOID", "null")
-        return plain.when(F.startswith(name, F.lit("ARRAY")), "array").when(F.startswith(name, F.lit("OBJECT")), "object").when(name.isNotNull(), "number").otherwise("null")
+        out = F.when(name.isNull() | (name == "VOID"), F.lit("null"))
+        for each in ("string", "boolean", "array", "object"):
+            out = out.when(_named(name, each), F.lit(each))
+        return out.otherwise(F.lit("number"))
 
     return let(F.schema_of_variant(v), named)
 
 
 def is_kind(v: Column, name: str) -> Column:
-    return kind(v) == name
+    """Never null."""
+    schema = F.schema_of_variant(v)
+    return F.coalesce(let(schema, lambda x: _named(x, name)) if name == "number" else _named(schema, name), F.lit(False))
 
 
 def missing(v: Column) -> Column:
@@ -52,11 +65,11 @@ def by_kind(v: Column, cases: dict[str, Callable[[Column], Column]], other: Colu
     def pick(pair: Column) -> Column:
         out = None
         for name, make in cases.items():
-            test = pair["kind"] == name
-            out = F.when(test, make(pair["value"])) if out is None else out.when(test, make(pair["value"]))
+            test, value = _named(pair["name"], name), make(pair["value"])
+            out = F.when(test, value) if out is None else out.when(test, value)
         return out if other is None else out.otherwise(other)
 
-    return let(v, lambda v: let(F.struct(v.alias("value"), kind(v).alias("kind")), pick))
+    return let(v, lambda v: let(F.struct(v.alias("value"), F.schema_of_variant(v).alias("name")), pick))
 
 
 def identity(v: Column) -> Column:
