@@ -34,7 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: five-word shingles, a similarity of 0.8 or more.
+    """One document of each group: five-word shingles, a similarity of 0.8 or more, found by SimHash fingerprints of parts of the
+    shingle set, pigeonhole blocks that miss no such pair, Hamming checks and components.
 
     The row with the smallest id stays, null ids last, ties by a hash of the text; of rows that repeat one stays.  Null, empty
     and blank texts are one group.  Rows with the same id, or none, and unlike texts all stay.  Other columns pass through."""
